@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .byte_bpe import op8_byte_bpe
 from .media import op7_media
 from .packing import op5_pattern_packing
 from .token_files import op6_token_files
@@ -12,6 +13,7 @@ QUERIES = {
     "op5_pattern_packing": op5_pattern_packing,
     "op6_token_files": op6_token_files,
     "op7_media": op7_media,
+    "op8_byte_bpe": op8_byte_bpe,
     "op9_url_filter": op9_url_filter,
 }
 ORACLE_SQL = {"op9_url_filter": URL_SQL}
