@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 from .byte_bpe import op8_byte_bpe
+from .html_extract import op1_html_extract
 from .media import op7_media
 from .packing import op5_pattern_packing
+from .pii import op10_feistel_pii
 from .token_files import op6_token_files
 from .url_filter import ORACLE_SQL as URL_SQL
 from .url_filter import op9_url_filter
 
 QUERIES = {
+    "op1_html_extract": op1_html_extract,
     "op5_pattern_packing": op5_pattern_packing,
     "op6_token_files": op6_token_files,
     "op7_media": op7_media,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_url_filter": op9_url_filter,
+    "op10_feistel_pii": op10_feistel_pii,
 }
 ORACLE_SQL = {"op9_url_filter": URL_SQL}
