@@ -7,12 +7,14 @@ from .html_extract import op1_html_extract
 from .media import op7_media
 from .packing import op5_pattern_packing
 from .pii import op10_feistel_pii
+from .quality import op4_importance_resampling
 from .token_files import op6_token_files
 from .url_filter import ORACLE_SQL as URL_SQL
 from .url_filter import op9_url_filter
 
 QUERIES = {
     "op1_html_extract": op1_html_extract,
+    "op4_importance_resampling": op4_importance_resampling,
     "op5_pattern_packing": op5_pattern_packing,
     "op6_token_files": op6_token_files,
     "op7_media": op7_media,
