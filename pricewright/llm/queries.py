@@ -5,6 +5,8 @@ from __future__ import annotations
 from .byte_bpe import op8_byte_bpe
 from .html_extract import op1_html_extract
 from .media import op7_media
+from .minhash import op2_order_minhash
+from .nn_descent import op3_nn_descent
 from .packing import op5_pattern_packing
 from .pii import op10_feistel_pii
 from .quality import op4_importance_resampling
@@ -14,6 +16,8 @@ from .url_filter import op9_url_filter
 
 QUERIES = {
     "op1_html_extract": op1_html_extract,
+    "op2_order_minhash": op2_order_minhash,
+    "op3_nn_descent": op3_nn_descent,
     "op4_importance_resampling": op4_importance_resampling,
     "op5_pattern_packing": op5_pattern_packing,
     "op6_token_files": op6_token_files,
