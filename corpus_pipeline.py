@@ -1,18 +1,39 @@
-"""From raw documents to packed sequences: each stage reads what the one before it wrote."""
+"""From raw documents to packed sequences: each stage reads what the one before it wrote.
+
+Quality classifier (documents that it rejects go), MinHash near duplicates (one document of each group stays), personal
+data (values are replaced in the texts), best-fit packing (the texts become pieces in sequences).
+"""
 
 from __future__ import annotations
 
-from pricewright.llm import packing
+from pyspark.sql import functions as F
+
+from pricewright.llm import minhash, packing, pii, quality
 from pricewright.llm.common import Scratch, read_local
 
 
-def pack(spark, docs, sf_dir):
+def quality_stage(spark, docs, sf_dir):
+    return quality.keep_sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_duplicate_stage(spark, docs, sf_dir):
+    return minhash.keep_one(docs)
+
+
+def pii_stage(spark, docs, sf_dir):
+    """n_chars follows the text."""
+    changed = pii.pseudonymize(docs, pii.DEMO_KEY)
+    return changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def packing_stage(spark, docs, sf_dir):
     import public_tokenizers
 
     return packing.pack_documents(docs, read_local(public_tokenizers.path("word_bpe_49k.json")))
 
 
-STAGES = [("pack", pack)]
+STAGES = [("quality", quality_stage), ("near_duplicates", near_duplicate_stage), ("pii", pii_stage), ("packing", packing_stage)]
+#: None of the stages can be said in SQL; tests hold each against a brute-force version.
 ORACLE_SQL = None
 
 
