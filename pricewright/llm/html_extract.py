@@ -236,7 +236,7 @@ class TreeModel:
 
 
 #: Labelled pages that the model is trained on, and rounds.
-TRAINING_PAGES, TRAINING_ROUNDS = 240, 50
+TRAINING_PAGES, TRAINING_ROUNDS = 320, 60
 
 
 @lru_cache(maxsize=1)

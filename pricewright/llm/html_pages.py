@@ -67,7 +67,7 @@ class Pages:
 
     def body_parts(self) -> str:
         r, e = self.r, self.el
-        parts = [e(r.choice(["h1", "h1", "h2"]), 1, self.words(1, 12))] if r.random() < 0.9 else []
+        parts = [e(r.choice(["h1", "h1", "h2"]), 1, self.words(1, 12))] if r.random() < 0.75 else []
         for _ in range(r.choice([1, 1, 2, 3, 5, 8, 12])):
             kind = r.random()
             if kind < 0.74:
@@ -92,9 +92,9 @@ class Pages:
         r, e = self.r, self.el
         inner = self.body_parts()
         shape = r.random()
-        if shape < 0.4:
+        if shape < 0.5:
             main = e("article", 1, inner, r.choice(["", "", *GOOD]))
-        elif shape < 0.6:
+        elif shape < 0.65:
             main = e("main", 1, r.choice([inner, e("article", 1, inner), e("div", 1, inner, r.choice(GOOD))]), r.choice(["", *GOOD]))
         elif shape < 0.9:
             main = e("div", 1, r.choice([inner, e("div", 1, inner, r.choice(GOOD)), e("section", 1, inner)]), r.choice(GOOD))
@@ -105,6 +105,8 @@ class Pages:
         if r.random() < 0.3:
             main = e("div", 0, main + "".join(after[:1]), r.choice(["wrapper", "container", "page", "row"]))
             after = after[1:]
+        if r.random() < 0.1:
+            return "".join(before) + main + "".join(after)
         return f'<html data-y="0"><body data-y="{int(main == inner)}">{"".join(before)}{main}{"".join(after)}</body></html>'
 
 

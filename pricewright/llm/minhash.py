@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, fresh, table
 from .graph import components
 from .shingles import BASE, mix, ngrams, word_hashes
 from .words import slices
@@ -213,11 +213,11 @@ def _word_table(docs: DataFrame, nodes: DataFrame, rows: int) -> DataFrame:
     return found.mapInArrow(run, "node long, words binary").dropDuplicates(["node"])
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id and kept of each row of ``docs`` (doc_id, text; other columns are left aside).
+def classify(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, h (digest of the text), class_id and first_h (the text of the class that stays) of each row of ``docs``.
 
     A class is what links of at least ``similarity`` connect, exact copies included; class_id is its least doc_id, and
-    kept says that the row has that id. Null and empty texts are copies of each other; texts without any word or with
+    first_h the text that has it, or the least digest if no row of the class has an id. Null and empty texts are copies of each other; texts without any word or with
     fewer than five match on all of them. Rows without an id have the class of their text; of repeated rows each has
     its own result row. An empty table gives no rows.
 
@@ -261,33 +261,35 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         found = scratch.write(_verify(more, words, similarity), f"links-{turn}")
         links = links.union(found)
         done = most
-    # Of the components only; a class alone has its own least id.
-    own = classes.select("node", "h", "rep").join(labels, "node")
-    least = own.groupBy("component").agg(F.min("rep").alias("class_id"))
-    joined = own.join(least, "component").select("h", "class_id")
-    alone = classes.select("node", "h", "rep").join(labels, "node", "left_anti").select("h", F.col("rep").alias("class_id"))
-    out = rows.select("doc_id", "h").join(joined.union(alone), "h")
-    return out.select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)).alias("kept"))
+    own = classes.select("node", "h", "rep").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    of = own.groupBy("component").agg(F.min("rep").alias("class_id"), F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "h")).alias("first"))
+    of = own.join(of, "component").select("h", "class_id", F.col("first.h").alias("first_h"))
+    return rows.select("doc_id", "h").join(of, "h")
 
 
-def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One row of each class, all columns of ``docs``; classes whose rows have no id keep one row too.
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, class_id and kept (the row has the id of its class) of each row; see ``classify``."""
+    rows = classify(docs, similarity)
+    return rows.select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)).alias("kept"))
 
-    Of rows that are equal in id and text, one stays.
-    """
+
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """One row of each class, all columns of ``docs``: that of the least id, or of the least digest where no row has an id."""
     scratch = Scratch(docs.sparkSession, "keep-one")
-    found = scratch.write(near_duplicates(docs, similarity), "classes")
-    gone = found.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    rows = docs.join(gone, "doc_id", "left_anti")
-    again = found.where("doc_id is null or kept").groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("id2"))
-    repeated = scratch.write(again, "again")
-    if not repeated.limit(1).count():
-        return rows
-    # Rows whose id occurs more than once, or is null, are few; only they are ranked.
-    twice = rows.join(repeated, F.col("doc_id").eqNullSafe(F.col("id2")), "left_semi")
-    once = rows.join(repeated, F.col("doc_id").eqNullSafe(F.col("id2")), "left_anti")
-    first = Window.partitionBy("doc_id", digest("text")).orderBy(*[F.xxhash64(c) for c in docs.columns])
-    return once.union(twice.withColumn("__rank", F.row_number().over(first)).where("__rank = 1").drop("__rank"))
+    found = scratch.write(classify(docs, similarity), "classes")
+    stays = (F.col("h") == F.col("first_h")) & F.col("doc_id").eqNullSafe(F.col("class_id"))
+    id2, h2, h, rank = fresh(docs, "pw_id", "pw_digest2", "pw_digest", "pw_rank")
+    pair = [F.col("doc_id").alias(id2), F.col("h").alias(h2)]
+    gone = found.where(~stays).select(*pair).distinct()
+    repeated = scratch.write(found.where(stays).groupBy("doc_id", "h").count().where("count > 1").select(*pair), "repeated")
+    same = F.col("doc_id").eqNullSafe(F.col(id2)) & (F.col(h) == F.col(h2))
+    rows = docs.withColumn(h, digest("text")).join(gone, same, "left_anti")
+    if repeated.limit(1).count():
+        # Equal rows of the pair that stays: only they are ranked.
+        first = Window.partitionBy("doc_id", h).orderBy(F.xxhash64(*docs.columns))
+        twice = rows.join(repeated, same, "left_semi").withColumn(rank, F.row_number().over(first)).where(F.col(rank) == 1).drop(rank)
+        rows = rows.join(repeated, same, "left_anti").union(twice)
+    return rows.select(*docs.columns)
 
 
 def op2_order_minhash(spark, sf_dir: str) -> DataFrame:

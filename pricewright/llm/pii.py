@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table
 
 ROUNDS = 5
 #: Stands for a secret key of the installation; real runs pass their own.
@@ -209,7 +209,7 @@ def pseudonymize(docs: DataFrame, key: str, text: str = "text", count: str | Non
     busy = c.rlike("[0-9@]") | c.rlike(SHAPES["secret"])
     found = F.when(busy, F.regexp_extract_all(c, F.lit(ANY), F.lit(0)))
     plain = F.when(busy, F.split(c, ANY, -1))
-    names = {n: f"__{n}_{abs(hash(tuple(docs.columns))) % 10**6}" for n in ("found", "plain", "new")}
+    names = dict(zip(("found", "plain", "new"), fresh(docs, "pw_found", "pw_plain", "pw_new"), strict=True))
     rows = docs.withColumns({names["found"]: found, names["plain"]: plain})
     rows = rows.withColumn(names["new"], F.transform(F.col(names["found"]), lambda m: pseudonym(m, key)))
     joined = F.array_join(F.flatten(F.zip_with(F.col(names["plain"]), F.col(names["new"]), lambda s, p: F.array(s, F.coalesce(p, F.lit(""))))), "")

@@ -27,6 +27,7 @@ KEEP_GOOD = 0.998
 SMOOTH = 5.0
 #: Most that one n-gram can say for or against, as a log.
 CLIP = 3.0
+SEED = 11
 
 
 def document_buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -132,30 +133,29 @@ def _gumbel(key: np.ndarray) -> np.ndarray:
     return -np.log(-np.log(u))
 
 
-def importance(docs: DataFrame, models: Models, seed: int = 11, extra: str = "") -> DataFrame:
-    """doc_id, log_weight and sort_key (log_weight plus Gumbel noise) of each row; ``extra`` names columns to carry along.
+def scores(part: pa.RecordBatch, models: Models, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(log weight, log weight plus Gumbel noise) of each row. The noise depends on doc_id, text and seed alone, so a task that runs again draws it again."""
+    texts = part.column("text")
+    own, bucket = document_buckets(texts)
+    doc = part.column("doc_id").cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
+    weight = models.log_weights(own, bucket, doc)
+    words, n = word_hashes(texts, lower=False, plain=False)
+    sums = np.zeros(part.num_rows, np.uint64)
+    np.add.at(sums, np.repeat(np.arange(len(n)), n), words)
+    return weight, weight + _gumbel(mix(mix(doc.astype(np.uint64) + np.uint64(seed)) ^ sums))
 
-    The noise depends on doc_id, text and seed alone, so it is the same whenever a task runs again.
-    """
+
+def importance(docs: DataFrame, models: Models, seed: int = SEED) -> DataFrame:
+    """doc_id, log_weight and sort_key of each row."""
     book = docs.sparkSession.sparkContext.broadcast(models)
-    carried = [c for c in docs.columns if c in extra.split()]
-    columns = [*dict.fromkeys(["doc_id", "text", *carried])]
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns if c != "text" or c in carried), "log_weight double, sort_key double"])
 
     def run(batches):
-        models = book.value
         for batch in batches:
             for s in slices(batch, "text", 2_000_000):
-                own, bucket = document_buckets(s.column("text"))
-                doc = s.column("doc_id").cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
-                weight = models.log_weights(own, bucket, doc)
-                words, n = word_hashes(s.column("text"), lower=False, plain=False)
-                sums = np.zeros(s.num_rows, np.uint64)
-                np.add.at(sums, np.repeat(np.arange(len(n)), n), words)
-                key = weight + _gumbel(mix(mix(doc.astype(np.uint64) + np.uint64(seed)) ^ sums))
-                yield pa.RecordBatch.from_arrays([*(s.column(c) for c in columns if c != "text" or c in carried), pa.array(weight), pa.array(key)], names=[*(c for c in columns if c != "text" or c in carried), "log_weight", "sort_key"])
+                weight, key = scores(s, book.value, seed)
+                yield pa.RecordBatch.from_arrays([s.column("doc_id").cast(pa.int64()), pa.array(weight), pa.array(key)], names=["doc_id", "log_weight", "sort_key"])
 
-    return docs.select(*columns).mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, log_weight double, sort_key double")
 
 
 def labelled_ids(labels: DataFrame, quality: int, most: int = MAX_LABELLED) -> list[int]:
@@ -215,8 +215,15 @@ def keep_sample(docs: DataFrame, labels: DataFrame, k: int | None = None) -> Dat
     sampler, _ = fit(docs, labels, k)
     if sampler.cut is None:
         return docs
-    rows = importance(docs, sampler.models, extra=" ".join(docs.columns))
-    return rows.where(F.col("sort_key") >= F.lit(sampler.cut)).select(*docs.columns)
+    book = docs.sparkSession.sparkContext.broadcast((sampler.models, sampler.cut))
+
+    def run(batches):
+        models, cut = book.value
+        for batch in batches:
+            for s in slices(batch, "text", 2_000_000):
+                yield s.filter(pa.array(scores(s, models, SEED)[1] >= cut))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op4_importance_resampling(spark, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .byte_bpe import op8_byte_bpe
+from .common import on_executors
 from .html_extract import op1_html_extract
 from .media import op7_media
 from .minhash import op2_order_minhash
@@ -14,7 +15,16 @@ from .token_files import op6_token_files
 from .url_filter import ORACLE_SQL as URL_SQL
 from .url_filter import op9_url_filter
 
-QUERIES = {
+
+def _ready(f):
+    def run(spark, sf_dir):
+        on_executors(spark)
+        return f(spark, sf_dir)
+
+    return run
+
+
+_ALL = {
     "op1_html_extract": op1_html_extract,
     "op2_order_minhash": op2_order_minhash,
     "op3_nn_descent": op3_nn_descent,
@@ -26,4 +36,5 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
     "op10_feistel_pii": op10_feistel_pii,
 }
+QUERIES = {name: _ready(f) for name, f in _ALL.items()}
 ORACLE_SQL = {"op9_url_filter": URL_SQL}
