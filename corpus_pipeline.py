@@ -9,14 +9,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pricewright.llm import minhash, packing, pii, quality
-from pricewright.llm.common import Scratch, read_local
+from pricewright.llm.common import Scratch, on_executors, read_local
 
 
 def quality_stage(spark, docs, sf_dir):
+    on_executors(spark)
     return quality.keep_sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicate_stage(spark, docs, sf_dir):
+    on_executors(spark)
     return minhash.keep_one(docs)
 
 
@@ -29,6 +31,7 @@ def pii_stage(spark, docs, sf_dir):
 def packing_stage(spark, docs, sf_dir):
     import public_tokenizers
 
+    on_executors(spark)
     return packing.pack_documents(docs, read_local(public_tokenizers.path("word_bpe_49k.json")))
 
 
