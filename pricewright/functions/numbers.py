@@ -112,6 +112,19 @@ def promo_label(raw: Column) -> Column:
     return F.nullif(F.rtrim(F.substring(text, 1, 80)), F.lit(""))
 
 
+def multi_buy(title: Column) -> Column:
+    """struct(buy, free) of ``N + M``; null unless both are 1 to 20."""
+    n, m = (F.regexp_extract(title, r"([0-9]+)\s*\+\s*([0-9]+)", i).try_cast("int") for i in (1, 2))
+    return F.when(n.between(1, 20) & m.between(1, 20), F.struct(n.alias("buy"), m.alias("free")))
+
+
+def euro_discount(title: Column) -> Column:
+    """The positive amount before or after the euro sign."""
+    amount = F.regexp_extract(title, r"([0-9]+(?:[.,][0-9]{1,2})?)\s*€|€\s*([0-9]+(?:[.,][0-9]{1,2})?)", 0)
+    value = F.replace(F.regexp_extract(amount, r"[0-9]+(?:[.,][0-9]{1,2})?", 0), F.lit(","), F.lit(".")).try_cast("decimal(10,2)")
+    return F.when(value > 0, value)
+
+
 def absolute_url(url: Column, base: str) -> Column:
     return F.when(url.startswith("http"), url).when(url.startswith("/"), F.concat(F.lit(base), url))
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_PER_PAGE = 100
 
@@ -43,10 +44,44 @@ def like(col: str, needle: str) -> Column:
     return F.col(col).like(f"%{needle}%")
 
 
+#: Types whose aggregation buffers have a fixed width, so that Spark keeps them in a hash map.
+FIXED = (T.LongType, T.IntegerType, T.ShortType, T.ByteType, T.DoubleType, T.FloatType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def _fixed_width(kind: T.DataType) -> bool:
+    return isinstance(kind, FIXED) or isinstance(kind, T.DecimalType) and kind.precision <= 18
+
+
 def latest(df: DataFrame, key: str, by: str = "id") -> DataFrame:
-    """The row of the highest ``by`` for each key, in one pass with partial aggregation instead of a self-join."""
+    """The row of the highest ``by`` for each key, in one pass with partial aggregation instead of a self-join.
+
+    Columns of fixed width are aggregated one by one, which Spark does by hashing; a struct of the row, which it sorts
+    for, is kept for tables with other columns. Both take all columns from one row.
+    """
     rest = [c for c in df.columns if c != key]
-    return df.groupBy(key).agg(F.max_by(F.struct(*rest), by).alias("__row")).select(key, *[F.col(f"__row.{c}").alias(c) for c in rest]).select(*df.columns)
+    if all(_fixed_width(df.schema[c].dataType) for c in rest):
+        got = df.groupBy(key).agg(*[F.max(c).alias(c) if c == by else F.max_by(c, by).alias(c) for c in rest])
+    else:
+        got = df.groupBy(key).agg(F.max_by(F.struct(*rest), by).alias("__row")).select(key, *[F.col(f"__row.{c}").alias(c) for c in rest])
+    return got.select(*df.columns)
+
+
+#: Rows of one piece when rows are numbered.
+PIECE = 1_000_000
+
+
+def numbered(df: DataFrame, seq: str, name: str, ties: Sequence[str] = (), piece: int = PIECE) -> DataFrame:
+    """Rows numbered from 1 in the order of the whole number ``seq`` (and ``ties``), without one task for all rows.
+
+    ``seq`` is cut into ranges; rows are ranked in their range, and the sizes of the ranges, one row each, are summed.
+    """
+    df = df.withColumn("__range", F.floor(F.col(seq) / piece))
+    sizes = df.groupBy("__range").agg(F.count("*").alias("__size"))
+    before = F.sum("__size").over(Window.orderBy("__range")) - F.col("__size")
+    sizes = sizes.select(F.col("__range").alias("__r"), before.alias("__before"))
+    rank = F.row_number().over(Window.partitionBy("__range").orderBy(seq, *ties))
+    rows = df.withColumn("__rank", rank).join(sizes, F.col("__range").eqNullSafe(F.col("__r")))
+    return rows.withColumn(name, F.col("__before") + F.col("__rank")).drop("__range", "__r", "__before", "__rank")
 
 
 def check_page(page: int, per_page: int) -> None:

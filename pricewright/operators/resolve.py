@@ -189,6 +189,39 @@ def pair_statistics(pairs: DataFrame) -> DataFrame:
     return pairs.agg(F.count("*").alias("pairs_evaluated"), *[F.count_if(F.col("route") == n).alias(f"pairs_{n}") for n in names])
 
 
+def joining_pairs(pairs: DataFrame) -> DataFrame:
+    """How many accepted pairs joined two components that were apart, by way; pairs of a block in order of their ids.
+
+    A block's pairs are one array of at most 28; labels are carried along it, so nothing leaves the aggregate.
+    """
+    merged = pairs.where(F.col("route").isin("rule_merged", "embedding_merged"))
+    edge = F.struct(F.col("a.product_id").alias("a"), F.col("b.product_id").alias("b"), (F.col("route") == "rule_merged").alias("rule"))
+    by = merged.groupBy(F.to_json(F.struct(*[F.col(f"a.{c}") for c in BLOCK])).alias("block")).agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+    nodes = F.array_distinct(F.concat(F.transform("edges", lambda e: e["a"]), F.transform("edges", lambda e: e["b"])))
+    start = F.struct(F.transform(nodes, lambda n: F.struct(n.alias("id"), n.alias("of"))).alias("labels"), F.lit(0).alias("rule"), F.lit(0).alias("vector"))
+
+    def step(acc, e):
+        of = lambda n: F.filter(acc["labels"], lambda x: x["id"] == n)[0]["of"]
+        apart = of(e["a"]) != of(e["b"])
+        labels = F.transform(acc["labels"], lambda x: F.struct(x["id"].alias("id"), F.when(x["of"] == of(e["b"]), of(e["a"])).otherwise(x["of"]).alias("of")))
+        return F.struct(labels.alias("labels"), (acc["rule"] + (apart & e["rule"]).cast("int")).alias("rule"), (acc["vector"] + (apart & ~e["rule"]).cast("int")).alias("vector"))
+
+    done = by.select(F.aggregate("edges", start, step).alias("d"))
+    return done.agg(F.coalesce(F.sum("d.rule"), F.lit(0)).alias("joined_by_rule"), F.coalesce(F.sum("d.vector"), F.lit(0)).alias("joined_by_vector"))
+
+
+def collect_features(offers: DataFrame, order: str = "position") -> DataFrame:
+    """Products of a listing, each once, the first; rows without an id or a name are left out."""
+    by = Window.partitionBy("product_id").orderBy(order)
+    rows = offers.where("product_id is not null and coalesce(trim(name), '') <> ''").withColumn("__n", F.row_number().over(by))
+    return rows.where("__n = 1").drop("__n")
+
+
+def vector_text(name: Column) -> Column:
+    """What a sentence model is given."""
+    return F.concat(F.lit("query: "), name)
+
+
 def review_queue(pairs: DataFrame) -> DataFrame:
     """Pairs for a person to look at, by their ids."""
     rows = pairs.where("route = 'review'")

@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..schema import MATCH_METHODS, PROMO_TYPES, TERMINAL_STATUSES
-from .core import promo_signal
+from .core import numbered, promo_signal
 
 FEATURES = ("manufacturer_brand", "category_normalised", "size_value", "size_unit", "pack_count", "variant_descriptor")
 REFRESHED = ("name", "normalized_name", "url", "image_url", "category", "unit")
@@ -56,9 +57,8 @@ def resolve_products(products: DataFrame, incoming: DataFrame) -> DataFrame:
     key = F.when(F.col("external_id").isNotNull(), F.struct(F.lit("e").alias("k"), F.col("external_id").alias("v"))).otherwise(F.struct(F.lit("n").alias("k"), F.col("normalized_name").alias("v")))
     rows = rows.withColumn("key", key)
     fresh = rows.where("found is null").groupBy("brand_id", "key").agg(F.min("seq").alias("first_seq"))
-    # Ids of new products are consecutive, so they are numbered without a key; only new keys go through this window.
-    top = products.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    fresh = fresh.withColumn("nth", F.row_number().over(Window.orderBy("first_seq", "brand_id"))).crossJoin(F.broadcast(top)).select("brand_id", "key", (F.col("top") + F.col("nth")).alias("new_id"))
+    top = products.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))  # one row
+    fresh = numbered(fresh, "first_seq", "nth", ["brand_id"]).crossJoin(F.broadcast(top)).select("brand_id", "key", (F.col("top") + F.col("nth")).alias("new_id"))
     rows = rows.join(fresh, ["brand_id", "key"], "left").drop("key")
     return rows.withColumn("created", F.col("found").isNull()).withColumn("product_id", F.coalesce("found", "new_id")).drop("found", "new_id")
 
@@ -77,7 +77,7 @@ def merge_products(products: DataFrame, resolved: DataFrame) -> DataFrame:
 def new_offers(offers: DataFrame, resolved: DataFrame, run_id: int) -> DataFrame:
     """One offer a resolved row, to be appended; ids go on from the highest, in order of the rows."""
     top = offers.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    rows = resolved.withColumn("nth", F.row_number().over(Window.orderBy("seq"))).crossJoin(F.broadcast(top))
+    rows = numbered(resolved, "seq", "nth").crossJoin(F.broadcast(top))
     values = {"id": F.col("top") + F.col("nth"), "crawl_run_id": F.lit(run_id).cast("long"), "currency": F.coalesce("currency", F.lit("EUR")) if "currency" in resolved.columns else F.lit("EUR")}
     return rows.select(*[values.get(c, F.col(c) if c in resolved.columns else F.lit(None)).cast(offers.schema[c].dataType).alias(c) for c in offers.columns])
 
@@ -86,6 +86,19 @@ def ingest_counts(resolved: DataFrame) -> DataFrame:
     return resolved.agg(F.count("*").alias("offers_persisted"), F.count_distinct(F.when(F.col("created"), F.col("product_id"))).alias("products_created"), F.count_distinct(F.when(~F.col("created"), F.col("product_id"))).alias("products_updated"))
 
 
+def backfill(products: DataFrame, brands=None) -> DataFrame:
+    """All products with their six family features worked out anew, by the catalogue profile; maker and category without accents."""
+    names = brands or text.BRANDS
+    rows = products.withColumn("__maker", text.manufacturer(F.col("name"), names)).withColumn("__size", text.size(F.col("name"), "catalogue"))
+    tokens = text.variant_tokens(F.col("name"), F.col("__maker"), names, "catalogue")
+    new = {
+        "manufacturer_brand": F.col("__maker"), "category_normalised": F.nullif(text.normalize(F.col("category")), F.lit("")), "size_value": F.col("__size.value").cast("decimal(10,3)"),
+        "size_unit": F.col("__size.unit"), "pack_count": text.pack_count(F.col("name"), "catalogue"), "variant_descriptor": text.variant_slug(tokens, "catalogue"),
+    }
+    kept = [c for c in products.columns if c not in new]
+    return rows.select(*kept, *[v.alias(c) for c, v in new.items()])
+
+
 def without_leaks(offers: DataFrame) -> DataFrame:
     """Offers that show a promotion; the rest are catalogue rows that leaked in."""
     return offers.where(promo_signal())
@@ -115,9 +128,10 @@ def upsert_canonicals(canonicals: DataFrame, incoming: DataFrame) -> DataFrame:
         dirty = dirty | ~F.col(f"n_{c}").eqNullSafe(F.col(f"o_{c}").cast(incoming.schema[c].dataType))
     dirty = dirty | ~image.eqNullSafe(F.col("o_image_url"))
     outcome = F.when(F.col("o_id").isNull(), "created").when(came & dirty, "updated").when(came, "same").otherwise("kept")
-    nth = F.row_number().over(Window.partitionBy(F.col("o_id").isNull()).orderBy("n_seq"))
     top = canonicals.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__top"))
-    rows = rows.withColumn("outcome", outcome).withColumn("__nth", nth).crossJoin(F.broadcast(top))
+    rows = rows.withColumn("outcome", outcome)
+    added = numbered(rows.where("o_id is null").select("canonical_key", "n_seq"), "n_seq", "__nth").select("canonical_key", "__nth")
+    rows = rows.join(added, "canonical_key", "left").crossJoin(F.broadcast(top))
     values = {"id": F.coalesce("o_id", F.col("__top") + F.col("__nth")), "canonical_key": F.col("canonical_key"), "image_url": image}
     values |= {c: F.when(came, F.col(f"n_{c}")).otherwise(F.col(f"o_{c}")) for c in have}
     return rows.select(*[values.get(c, F.col(f"o_{c}")).cast(canonicals.schema[c].dataType).alias(c) for c in canonicals.columns], "outcome")

@@ -63,6 +63,11 @@ def canonical_page(t: Retail, *, sort="brands_count", dir="desc", page=1, per_pa
     return core.page_of(canonicals(t, **filters), order, page, per_page)
 
 
+def top_canonicals(t: Retail, rows: int = 100, min_brands: int = 2) -> DataFrame:
+    """The canonicals that a site map lists."""
+    return canonical_page(t, per_page=rows, min_brands=min_brands).select("canonical_product_id")
+
+
 def comparison(t: Retail, valid_on, canonical_id: int | None = None) -> DataFrame:
     """The offers of a canonical (or of all), cheapest first: each member's latest offer if it is valid.
 

@@ -100,6 +100,12 @@ def absent_brands(t: Retail, canonical_id: int) -> DataFrame:
     return t.brands.where("active").join(there, "id", "left_anti").select("id", "slug")
 
 
+def brands_with_config(brands: DataFrame, configs: DataFrame) -> DataFrame:
+    """Chains by id with how they are crawled; a chain without a configuration has none."""
+    config = configs.select(F.col("brand_id").alias("id"), F.struct("strategy", "start_url", "rate_limit_ms", "respect_robots_txt", "cache_ttl_seconds", "schedule_cron").alias("config"))
+    return brands.join(config, "id", "left").orderBy("id")
+
+
 def run_counts(t: Retail) -> DataFrame:
     return t.offers.groupBy("crawl_run_id").agg(F.count("*").alias("offers_persisted"))
 

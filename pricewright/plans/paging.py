@@ -32,6 +32,13 @@ def pages_read(pages: DataFrame, crawl: str = "crawl_id", page: str = "page", em
     return rows.where(F.col(page) <= cap) if cap is not None else rows
 
 
+def until_short_page(pages: DataFrame, crawl: str = "crawl_id", page: str = "page", rows: str = "rows", full: int = 50, cap: int | None = None) -> DataFrame:
+    """The pages of a crawl that stops at the first page with fewer rows than a full one."""
+    last = pages.where(F.col(rows) < full).groupBy(crawl).agg(F.min(page).alias("__last"))
+    got = pages.join(last, crawl, "left").where(F.col("__last").isNull() | (F.col(page) <= F.col("__last"))).drop("__last")
+    return got.where(F.col(page) <= cap) if cap is not None else got
+
+
 def first_seen(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The first row of each key by position."""
     by = Window.partitionBy(*keys).orderBy(*order)
