@@ -11,6 +11,8 @@ common subsequence; without moved passages that is the Jaccard index of the labe
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -28,8 +30,10 @@ SIZES = ((1, 60, 3, 24), (40, 1 << 62, 6, 40))
 NARROW = 28
 #: Pairs of a bucket's members are aligned with so many of its members at first, then eight times as many.
 PIVOTS, MORE = 1, 8
+#: Rows of an alignment after which columns behind the band are dropped.
+DROP = 2048
 #: Candidates up to this many are broadcast to the scan of the texts; more are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
 
 
 def labelled_shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -123,7 +127,7 @@ def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> flo
     """The similarity of two shingle sequences if it is at least ``similarity``, else 0.
 
     The longest common subsequence, a row at a time in the bits of one number. So many matches are needed that no
-    matched pair lies further off the diagonal than the band, so cells outside it aren't looked at.
+    matched pair can lie further off the diagonal than the band, so cells outside it aren't looked at.
     """
     x, y = len(a), len(b)
     if not x or not y:
@@ -154,22 +158,39 @@ def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> flo
 
 
 def _banded_lcs(p: np.ndarray, q: np.ndarray, width: int, common: set[int]) -> int:
-    where: dict[int, int] = {}
+    """Length of the longest common subsequence whose matches lie within the band.
+
+    The number holds the columns from ``low`` on, a zero for each that is matched so far. Columns that the band has
+    left behind are counted and dropped, so it is about as long as the band is wide, however long the texts are.
+    """
+    where: dict[int, list[int]] = {}
     for j, c in enumerate(q.tolist()):
         if c in common:
-            where[c] = where.get(c, 0) | 1 << j
-    n = len(q)
-    full = (1 << n) - 1
-    band = (1 << (2 * width + 1)) - 1
-    row = full
+            where.setdefault(c, []).append(j)
+    low, columns, matched = 0, min(len(q), 2 * width + DROP), 0
+    row = (1 << columns) - 1
     for i, c in enumerate(p.tolist()):
-        hits = where.get(c)
-        if hits:
-            hits &= band << (i - width) if i >= width else band >> (width - i)
-            if hits:
-                u = row & hits
-                row = ((row + u) | (row - u)) & full
-    return n - row.bit_count()
+        if i - width - low >= DROP:
+            gone = min(i - width - low, columns)
+            matched += gone - (row & ((1 << gone) - 1)).bit_count()
+            row >>= gone
+            low, columns = low + gone, columns - gone
+            more = min(len(q), i + width + DROP) - (low + columns)
+            if more > 0:
+                row |= ((1 << more) - 1) << columns
+                columns += more
+        at = where.get(c)
+        if at:
+            if len(at) > 1:
+                at = at[bisect_left(at, i - width) : bisect_right(at, i + width)]
+            hits = 0
+            for j in at:
+                if -width <= j - i <= width:
+                    hits |= 1 << (j - low)
+            u = row & hits
+            if u:
+                row = ((row + u) | (row - u)) & ((1 << columns) - 1)
+    return matched + columns - row.bit_count()
 
 
 def _verify(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:

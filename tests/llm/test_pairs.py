@@ -55,6 +55,20 @@ def test_alignment_by_plain_table():
         assert minhash.aligned(a, b) == pytest.approx(want if want >= 0.8 - 1e-12 else 0)
 
 
+def test_long_alignment(monkeypatch):
+    rng = np.random.default_rng(6)
+    monkeypatch.setattr(minhash, "DROP", 16)
+    for kinds in (40, 5000):
+        a = rng.integers(0, kinds, 700).astype(np.uint64)
+        b = np.delete(np.insert(a, rng.integers(0, 700, 30), rng.integers(0, kinds, 30).astype(np.uint64)), rng.integers(0, 700, 25))
+        m = longest(a.tolist(), b.tolist())
+        assert minhash.aligned(a, b) == pytest.approx(m / (len(a) + len(b) - m))
+    monkeypatch.undo()
+    a = rng.integers(0, 10**9, 200_000).astype(np.uint64)
+    b = np.delete(a, np.arange(5, 200_000, 23))
+    assert minhash.aligned(a, b) == pytest.approx(len(b) / len(a))
+
+
 def similarity(a, b):
     x, y = (minhash.shingle_sequence(word_hashes(pa.array([t]))[0]).tolist() for t in (a, b))
     if a == b:
