@@ -28,8 +28,9 @@ WORDS, SIMILARITY = 5, 0.8
 SIZES = ((1, 60, 3, 24), (40, 1 << 62, 6, 40))
 #: A task looks for a sketch's first shingles among about so many per text before it looks at all of them.
 NARROW = 28
-#: Pairs of a bucket's members are aligned with so many of its members at first, then eight times as many.
-PIVOTS, MORE = 1, 8
+#: Buckets of so few members have all unconnected pairs aligned; in larger ones a pair first has to agree on so many
+#: sketches (a pair at the threshold does but for 7 in 10,000), compared in blocks of so many members.
+FEW, AGREE, BLOCK = 8, 3, 512
 #: Rows of an alignment after which columns behind the band are dropped.
 DROP = 2048
 #: Candidates up to this many are broadcast to the scan of the texts; more are joined by a shuffle.
@@ -217,6 +218,59 @@ def _verify(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long, similarity double")
 
 
+def _crowded(rows: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of members of large buckets that aren't connected, of fitting sizes, and agree on AGREE sketches or more.
+
+    Texts that share a passage meet in large buckets and are alike in little else. A bucket is dealt into blocks, each
+    pair of blocks is one piece of work, and only pairs that pass leave it.
+    """
+    rows = rows.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("k", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "node", "n", "component")
+    rows = rows.join(nodes.select("node", "keys"), "node")
+
+    def compare(run: pa.Table):
+        node, n, mine, label = (run.column(c).to_numpy() for c in ("node", "n", "mine", "component"))
+        i, j = (np.flatnonzero(mine == run.column(c)[0].as_py()) for c in ("lo", "hi"))
+        keys = run.column("keys").to_pylist()
+        agree = np.zeros((len(i), len(j)), bool)
+        for kind, (least, most, _, count) in enumerate(SIZES):
+            have = (n >= least) & (n < most)
+            # Keys of a text are those of its first range, then those of its last; others get numbers that equal nothing.
+            x = np.array([(k[:count] if kind == 0 else k[-count:]) if ok else [0] * count for k, ok in zip(keys, have, strict=True)], np.int64).reshape(len(keys), count)
+            same = np.zeros((len(i), len(j)), np.int16)
+            for c in range(count):
+                same += x[i, c][:, None] == x[j, c]
+            agree |= (same >= AGREE) & have[i][:, None] & have[j]
+        agree &= (label[i][:, None] != label[j]) & (node[i][:, None] < node[j] if run.column("lo")[0] == run.column("hi")[0] else True)
+        agree &= np.minimum(n[i][:, None], n[j]) >= (similarity - 1e-9) * np.maximum(n[i][:, None], n[j])
+        u, v = np.nonzero(agree)
+        one, two = node[i][u], node[j][v]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], names=["a", "b"])
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        key = None
+        for batch in batches:
+            k, lo, hi = (batch.column(c).to_numpy() for c in ("k", "lo", "hi"))
+            cuts = np.flatnonzero((k[1:] != k[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
+            at = 0
+            for to in [*cuts.tolist(), batch.num_rows]:
+                if (now := (k[at], lo[at], hi[at])) != key:
+                    if held:
+                        yield compare(pa.Table.from_batches(held))
+                    held, key = [], now
+                held.append(batch.slice(at, to - at))
+                at = to
+        if held:
+            yield compare(pa.Table.from_batches(held))
+
+    group = ["k", "lo", "hi"]
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, *group).sortWithinPartitions(*group, "node").mapInArrow(run, "a long, b long")
+
+
 def _word_table(docs: DataFrame, nodes: DataFrame, rows: int) -> DataFrame:
     """node and words (64-bit hashes as bytes) of the given nodes (node, h, rep), one row each."""
     texts = docs.select("doc_id", "text", digest("text").alias("h"))
@@ -243,8 +297,7 @@ def classify(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     its own result row. An empty table gives no rows.
 
     Large groups cost no more than their size: copies are one node, and a bucket's members are aligned with one pivot
-    first; only members that stay unconnected are aligned with more pivots, eight times as many each round, until all
-    pairs of the bucket that aren't connected have been aligned.
+    first, the text that most others meet; only pairs that stay unconnected are looked at after that.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
@@ -252,36 +305,30 @@ def classify(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     classes = rows.groupBy("h").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     classes = scratch.write(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     spread = classes.select("node", "n", F.explode("keys").alias("k"))
-    shared = spread.groupBy("k").agg(F.count("*").alias("members"), F.min("node").alias("pivot")).where("members > 1")
-    members = scratch.write(spread.join(shared.select("k", "pivot"), "k"), "members")
-    nodes = classes.join(members.select("node").distinct(), "node").select("node", "h", "rep", "n")
-    nodes = scratch.write(nodes, "nodes")
+    shared = spread.groupBy("k").agg(F.count("*").alias("members")).where("members > 1")
+    spread = scratch.write(spread.join(shared, "k"), "spread")
+    # A bucket's pivot is its member that has most company in all buckets, so the text that many copies were made from.
+    company = spread.groupBy("node").agg(F.sum("members").alias("company"))
+    members = scratch.write(spread.join(company, "node"), "members")
+    pivots = members.groupBy("k").agg(F.max_by(F.struct("node", "n"), F.struct(F.col("company"), -F.col("node"))).alias("p"))
+    nodes = scratch.write(classes.join(company, "node").select("node", "h", "rep", "n", "keys"), "nodes")
     words = scratch.write(_word_table(docs, nodes, nodes.count()), "words")
 
     def fits(a: str, b: str):
         return F.least(a, b) >= F.lit(similarity - 1e-9) * F.greatest(a, b)
 
-    size = nodes.select(F.col("node").alias("pivot"), F.col("n").alias("n_pivot"))
-    pairs = members.where("node <> pivot").select(F.col("pivot"), "node", "n").distinct().join(size, "pivot").where(fits("n", "n_pivot"))
-    links = scratch.write(_verify(pairs.select(F.col("pivot").alias("a"), F.col("node").alias("b")), words, similarity), "links-0")
-    done, turn = PIVOTS, 0
-    while True:
-        turn += 1
-        labels = components(links, scratch, f"components-{turn}")
-        placed = members.join(labels, "node", "left").select("k", "node", "n", F.coalesce("component", "node").alias("component"))
-        split = placed.groupBy("k").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members"))
-        split = split.where((F.col("lo") < F.col("hi")) & (F.col("members") > done)).select("k")
-        ranked = placed.join(split, "k").withColumn("rank", F.row_number().over(Window.partitionBy("k").orderBy("node")) - 1)
-        ranked = scratch.write(ranked, f"open-{turn}")
-        if not ranked.limit(1).count():
-            break
-        most = done * MORE + MORE
-        a = ranked.where((F.col("rank") >= done) & (F.col("rank") < most)).select("k", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("rank").alias("ra"))
-        b = ranked.select("k", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("rank").alias("rb"))
-        more = a.join(b, "k").where((F.col("ra") < F.col("rb")) & (F.col("ca") != F.col("cb")) & fits("na", "nb")).select("a", "b").distinct()
-        found = scratch.write(_verify(more, words, similarity), f"links-{turn}")
-        links = links.union(found)
-        done = most
+    pairs = members.join(pivots, "k").select(F.col("p.node").alias("a"), F.col("p.n").alias("na"), F.col("node").alias("b"), "n").where("a <> b").where(fits("na", "n")).select("a", "b").distinct()
+    links = scratch.write(_verify(pairs, words, similarity), "links-pivots")
+    labels = components(links, scratch, "first")
+    placed = members.join(labels, "node", "left").select("k", "node", "n", "members", F.coalesce("component", "node").alias("component"))
+    split = placed.groupBy("k").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("k")
+    apart = scratch.write(placed.join(split, "k"), "apart")
+    a = apart.where(F.col("members") <= FEW).select("k", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
+    b = apart.where(F.col("members") <= FEW).select("k", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
+    few = a.join(b, "k").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits("na", "nb")).select("a", "b")
+    more = few.union(_crowded(apart.where(F.col("members") > FEW), nodes, similarity)).distinct()
+    links = scratch.write(links.union(_verify(more, words, similarity)), "links")
+    labels = components(links, scratch, "last")
     own = classes.select("node", "h", "rep").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     of = own.groupBy("component").agg(F.min("rep").alias("class_id"), F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "h")).alias("first"))
     of = own.join(of, "component").select("h", "class_id", F.col("first.h").alias("first_h"))
