@@ -31,6 +31,8 @@ NARROW = 28
 #: Buckets of so few members have all unconnected pairs aligned; in larger ones a pair first has to agree on so many
 #: sketches (a pair at the threshold does but for 7 in 10,000), compared in blocks of so many members.
 FEW, AGREE, BLOCK = 8, 3, 512
+#: Shingles that a task keeps ready while it aligns the pairs of two blocks.
+HELD_SHINGLES = 4_000_000
 #: Rows of an alignment after which columns behind the band are dropped.
 DROP = 2048
 #: Candidates up to this many are broadcast to the scan of the texts; more are joined by a shuffle.
@@ -218,36 +220,58 @@ def _verify(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long, similarity double")
 
 
-def _crowded(rows: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of members of large buckets that aren't connected, of fitting sizes, and agree on AGREE sketches or more.
+def _crowded(rows: DataFrame, nodes: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
+    """Links among members of large buckets that aren't connected, of pairs of fitting sizes that agree on AGREE sketches or more.
 
-    Texts that share a passage meet in large buckets and are alike in little else. A bucket is dealt into blocks, each
-    pair of blocks is one piece of work, and only pairs that pass leave it.
+    Texts that share a passage meet in large buckets and are alike in little else. A bucket is dealt into blocks, and each
+    pair of blocks is one piece of work that aligns its pairs where they lie, so no more rows are made than members
+    have blocks. A pair that meets in many buckets is aligned in that of the first sketch on which it agrees.
     """
     rows = rows.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("k", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "node", "n", "component")
-    rows = rows.join(nodes.select("node", "keys"), "node")
+    rows = rows.join(nodes.select("node", "keys").join(words, "node"), "node")
 
     def compare(run: pa.Table):
+        bucket = run.column("k")[0].as_py()
         node, n, mine, label = (run.column(c).to_numpy() for c in ("node", "n", "mine", "component"))
         i, j = (np.flatnonzero(mine == run.column(c)[0].as_py()) for c in ("lo", "hi"))
         keys = run.column("keys").to_pylist()
-        agree = np.zeros((len(i), len(j)), bool)
+        agree, seen, here = (np.zeros((len(i), len(j)), bool) for _ in range(3))
         for kind, (least, most, _, count) in enumerate(SIZES):
             have = (n >= least) & (n < most)
             # Keys of a text are those of its first range, then those of its last; others get numbers that equal nothing.
             x = np.array([(k[:count] if kind == 0 else k[-count:]) if ok else [0] * count for k, ok in zip(keys, have, strict=True)], np.int64).reshape(len(keys), count)
             same = np.zeros((len(i), len(j)), np.int16)
+            both = have[i][:, None] & have[j]
             for c in range(count):
-                same += x[i, c][:, None] == x[j, c]
-            agree |= (same >= AGREE) & have[i][:, None] & have[j]
+                equal = (x[i, c][:, None] == x[j, c]) & both
+                same += equal
+                here |= equal & ~seen & (x[i, c] == bucket)[:, None]
+                seen |= equal
+            agree |= same >= AGREE
+        agree &= here
         agree &= (label[i][:, None] != label[j]) & (node[i][:, None] < node[j] if run.column("lo")[0] == run.column("hi")[0] else True)
         agree &= np.minimum(n[i][:, None], n[j]) >= (similarity - 1e-9) * np.maximum(n[i][:, None], n[j])
-        u, v = np.nonzero(agree)
-        one, two = node[i][u], node[j][v]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], names=["a", "b"])
+        texts, known, size, found = run.column("words"), {}, 0, []
+
+        def sequence(r: int) -> np.ndarray:
+            nonlocal size
+            if r not in known:
+                if size > HELD_SHINGLES:
+                    known.clear()
+                    size = 0
+                known[r] = shingle_sequence(np.frombuffer(texts[r].as_buffer(), np.uint64))
+                size += len(known[r])
+            return known[r]
+
+        for u, v in zip(*np.nonzero(agree), strict=True):
+            r, t = int(i[u]), int(j[v])
+            if alike := aligned(sequence(r), sequence(t), similarity):
+                found.append((min(node[r], node[t]), max(node[r], node[t]), alike))
+        one, two, alike = zip(*found, strict=True) if found else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(alike, pa.float64())], names=["a", "b", "similarity"])
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -268,7 +292,7 @@ def _crowded(rows: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
 
     group = ["k", "lo", "hi"]
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, *group).sortWithinPartitions(*group, "node").mapInArrow(run, "a long, b long")
+    return rows.repartition(parts, *group).sortWithinPartitions(*group, "node").mapInArrow(run, "a long, b long, similarity double")
 
 
 def _word_table(docs: DataFrame, nodes: DataFrame, rows: int) -> DataFrame:
@@ -326,8 +350,8 @@ def classify(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     a = apart.where(F.col("members") <= FEW).select("k", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
     b = apart.where(F.col("members") <= FEW).select("k", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
     few = a.join(b, "k").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits("na", "nb")).select("a", "b")
-    more = few.union(_crowded(apart.where(F.col("members") > FEW), nodes, similarity)).distinct()
-    links = scratch.write(links.union(_verify(more, words, similarity)), "links")
+    crowded = _crowded(apart.where(F.col("members") > FEW), nodes, words, similarity)
+    links = scratch.write(links.union(_verify(few.distinct(), words, similarity)).union(crowded), "links")
     labels = components(links, scratch, "last")
     own = classes.select("node", "h", "rep").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     of = own.groupBy("component").agg(F.min("rep").alias("class_id"), F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "h")).alias("first"))
