@@ -1,10 +1,9 @@
 """Embedding near duplicates by NN-descent.
 
 Equal vectors are one node with a weight. Random hyperplanes give every node a first list of near neighbours; rounds of
-neighbours-of-neighbours joins refine the lists; lists that hold only links are enlarged. Edges at the threshold are the
-links and join nodes into components; inside a component all pairs are then compared in blocks, so nodes with more
-links than any list holds still have each counted. An audit compares a fixed sample with all vectors, and while it
-finds links that are missing, the search goes on from new hyperplanes.
+neighbours-of-neighbours joins refine the lists; lists that hold only links are enlarged. Edges at the threshold join
+nodes into components. Lists are short and the search may miss pairs, so every node is then compared with every other in
+blocks: that counts each link, and joins components which the search left apart.
 """
 
 from __future__ import annotations
@@ -28,8 +27,8 @@ FLOOR = 0.6
 TABLES, CHUNK, ROUNDS = 6, 128, 6
 #: Sample of the audit, the share of its links that has to be found, and starts at most.
 AUDIT, RECALL, STARTS = 256, 0.995, 5
-#: Nodes of a block when a component is compared with itself.
-BLOCK = 1024
+#: Nodes of a block, blocks and bytes of vectors that are broadcast at once to be compared with all, and cosines that are held at once.
+BLOCK, BLOCKS, CHUNK_BYTES, TILE = 1024, 16, 1 << 23, 1 << 22
 
 
 def unit_vector(x) -> bytes | None:
@@ -173,56 +172,58 @@ def _refine(nodes: DataFrame, edges: DataFrame, scratch: Scratch, name: str, thr
     return lists
 
 
-def _count_inside(nodes: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """(node, linked): the weight of the other nodes of its component that it links with, every pair compared.
+def _compare_all(nodes: DataFrame, scratch: Scratch, threshold: float, name: str) -> DataFrame:
+    """Every node (node, component, weight, unit) compared with every other: rows (a, b, linked).
 
-    A component is dealt into blocks, and each pair of blocks is one piece of work that returns a number for each node.
+    Rows with ``linked`` say how much weight node ``a`` links with; the others are links between components ``a`` and
+    ``b``. Chunks of nodes are broadcast one after the other and all nodes stream past, so nothing is shuffled and no
+    group is one task's. Single precision decides but for pairs so near the threshold that doubles have to.
     """
-    placed = nodes.join(labels, "node")
-    sizes = placed.groupBy("component").agg(F.count("*").alias("size"))
-    placed = placed.join(sizes, "component").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    placed = placed.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    work = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    work = work.select("component", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "node", "weight", "unit")
-
-    def compare(run: pa.Table):
-        node, weight, mine = (run.column(c).to_numpy() for c in ("node", "weight", "mine"))
-        x = _matrix(run.column("unit").combine_chunks())
-        lo, hi = int(run.column("lo")[0].as_py()), int(run.column("hi")[0].as_py())
-        sums = np.zeros(len(node), np.int64)
-        i = np.flatnonzero(mine == lo)
-        j = np.flatnonzero(mine == hi)
-        if len(i) and len(j):
-            hit = x[i] @ x[j].T >= threshold
-            if lo == hi:
-                np.fill_diagonal(hit, False)
-                sums[i] = hit @ weight[j]
-            else:
-                sums[i] = hit @ weight[j]
-                sums[j] = weight[i] @ hit
-        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(sums)], names=["node", "linked"])
-
-    def run(batches):
-        held: list[pa.RecordBatch] = []
-        key = None
-        for batch in batches:
-            c, lo, hi = (batch.column(x).to_numpy() for x in ("component", "lo", "hi"))
-            cuts = np.flatnonzero((c[1:] != c[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
-            at = 0
-            for to in [*cuts.tolist(), batch.num_rows]:
-                if (now := (c[at], lo[at], hi[at])) != key:
-                    if held:
-                        yield compare(pa.Table.from_batches(held))
-                    held, key = [], now
-                held.append(batch.slice(at, to - at))
-                at = to
-        if held:
-            yield compare(pa.Table.from_batches(held))
-
-    keys = ["component", "lo", "hi"]
-    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = work.repartition(n, *keys).sortWithinPartitions(*keys, "node").mapInArrow(run, "node long, linked long")
-    return rows.groupBy("node").agg(F.sum("linked").alias("linked"))
+    count, size = nodes.agg(F.count("*"), F.sum(F.length("unit"))).first()
+    chunks = max(1, -(-count // (BLOCK * BLOCKS)), -(-(size or 0) // CHUNK_BYTES))
+    schema = "a long, b long, linked long"
+    for c in range(chunks):
+        by: dict[int, list] = {}
+        for r in nodes.where(F.pmod(F.xxhash64("node"), F.lit(chunks)) == c).collect():
+            by.setdefault(len(r["unit"]), []).append(r)
+        held = {d: (*(np.array([r[k] for r in rs], np.int64) for k in ("node", "component", "weight")), np.stack([np.frombuffer(r["unit"], np.float64) for r in rs])) for d, rs in by.items()}
+        book = nodes.sparkSession.sparkContext.broadcast(held)
+
+        def run(batches, book=book):
+            single = {d: q.astype(np.float32).T.copy() for d, (*_, q) in book.value.items()}
+            for batch in batches:
+                sizes = np.array([len(u.as_buffer()) for u in batch.column("unit")])
+                for d, (who, label, weight, q) in book.value.items():
+                    part = batch.filter(pa.array(sizes == d))
+                    slack = (d // 8 + 4) * 2.0**-23
+                    rows = max(1, TILE // len(who))
+                    for at in range(0, part.num_rows, rows):
+                        p = part.slice(at, rows)
+                        node, mine = p.column("node").to_numpy(), p.column("component").to_numpy()
+                        x = _matrix(p.column("unit"))
+                        s = x.astype(np.float32) @ single[d]
+                        i, j = np.divmod(np.flatnonzero(s >= np.float32(threshold - slack)), len(who))
+                        near = np.flatnonzero(s[i, j] < threshold + slack)
+                        ok = node[i] != who[j]
+                        for k in range(0, len(near), 4096):
+                            n = near[k : k + 4096]
+                            ok[n] &= (x[i[n]] * q[j[n]]).sum(axis=1) >= threshold
+                        i, j = i[ok], j[ok]
+                        sums = np.zeros(len(node), np.int64)
+                        np.add.at(sums, i, weight[j])
+                        some = np.flatnonzero(sums)
+                        apart = mine[i] != label[j]
+                        one, two = mine[i[apart]], label[j[apart]]
+                        join = np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)], axis=1), axis=0)
+                        none = [None]
+                        a = pa.array(np.concatenate([node[some], join[:, 0]]))
+                        b = pa.array(none * len(some) + join[:, 1].tolist(), pa.int64())
+                        linked = pa.array(sums[some].tolist() + none * len(join), pa.int64())
+                        yield pa.RecordBatch.from_arrays([a, b, linked], names=["a", "b", "linked"])
+
+        scratch.write(nodes.mapInArrow(run, schema), f"{name}/chunk={c}")
+        book.destroy()
+    return nodes.sparkSession.read.schema(schema).parquet(*(scratch.path(f"{name}/chunk={c}") for c in range(chunks)))
 
 
 def _audit(nodes: DataFrame, counted: DataFrame, threshold: float) -> float:
@@ -273,12 +274,18 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, vector: str =
         found = _start(nodes, count, start * TABLES, LIST)
         edges = found if edges is None else edges.select("a", "b", "s").union(found)
         edges = _refine(nodes, edges, scratch, f"lists-{start}", threshold)
-        links = scratch.write(_cosines(edges.where(F.col("s") >= threshold - 1e-4).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), nodes).where(F.col("s") >= threshold), f"links-{start}")
+        links = _cosines(edges.where(F.col("s") >= threshold - 1e-4).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), nodes).where(F.col("s") >= threshold)
         labels = components(links, scratch, f"components-{start}")
-        counted = scratch.write(_count_inside(nodes, labels, threshold), f"counted-{start}")
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        placed = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        placed = scratch.write(placed.select("node", "component", "weight", "unit").repartition(n, "node"), f"placed-{start}")
+        compared = _compare_all(placed, scratch, threshold, f"compared-{start}")
+        counted = compared.where("linked is not null").groupBy(F.col("a").alias("node")).agg(F.sum("linked").alias("linked"))
+        joined = components(compared.where("linked is null").select("a", "b"), scratch, f"joined-{start}").select(F.col("node").alias("component"), F.col("component").alias("to"))
+        labels = placed.select("node", "component").join(joined, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
         if _audit(nodes, counted, threshold) >= RECALL:
             break
-    of = nodes.select("node", "h", "rep", "weight").join(labels, "node", "left").join(counted, "node", "left")
+    of = nodes.select("node", "h", "rep", "weight").join(labels, "node").join(counted, "node", "left")
     least = of.where("component is not null").groupBy("component").agg(F.min("rep").alias("least"))
     of = of.join(least, "component", "left").select("h", (F.col("weight") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("least", "rep").alias("component_id"))
     linked = rows.where("h is not null").select("vec_id", "h").join(of, "h").select("vec_id", "n_links", "component_id")

@@ -218,3 +218,39 @@ def test_pipeline(spark, sf, word_vocabulary):
     assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in seen.select("doc_id").collect()}
     whole = corpus_pipeline.run(spark, sf).collect()
     assert sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in whole) == sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in rows)
+
+
+def linked_by_all_pairs(vectors):
+    x = np.array(vectors, np.float64)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    hit = x @ x.T >= 0.95
+    np.fill_diagonal(hit, False)
+    return hit.sum(axis=1).tolist(), classes_of([(int(a), int(b)) for a, b in zip(*np.nonzero(hit), strict=True) if a < b], range(len(x)))
+
+
+def same_as_all_pairs(spark, vectors):
+    rows = nn_descent.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>"))
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in rows.collect()}
+    links, groups = linked_by_all_pairs(vectors)
+    assert got == {i: (links[i], groups[i]) for i in range(len(vectors))}
+
+
+def at_cosine(rng, base, cosine):
+    """Vectors of the given cosine with those of ``base``."""
+    off = rng.normal(size=base.shape)
+    off -= (off * base).sum(axis=1)[:, None] * base
+    off /= np.linalg.norm(off, axis=1)[:, None]
+    return cosine * base + np.sqrt(1 - cosine**2) * off
+
+
+def units(x):
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def test_groups_linked_across_full_lists(spark, monkeypatch):
+    """Two groups of 80 whose members all link, each with its list full of its own group."""
+    monkeypatch.setattr(nn_descent, "BLOCK", 4)
+    rng = np.random.default_rng(11)
+    one = units(rng.normal(size=(1, 64)))
+    centres = np.concatenate([one, at_cosine(rng, one, 0.965)])
+    same_as_all_pairs(spark, units(np.repeat(centres, 80, axis=0) + rng.normal(size=(160, 64)) * 0.008))
