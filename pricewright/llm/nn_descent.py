@@ -25,8 +25,6 @@ LIST, LONGEST = 12, 48
 FLOOR = 0.6
 #: Hyperplane tables of a start, rows of a bucket compared at once, and rounds of refinement at most.
 TABLES, CHUNK, ROUNDS = 6, 128, 6
-#: Sample of the audit, the share of its links that has to be found, and starts at most.
-AUDIT, RECALL, STARTS = 256, 0.995, 5
 #: Nodes of a block, blocks and bytes of vectors that are broadcast at once to be compared with all, and cosines that are held at once.
 BLOCK, BLOCKS, CHUNK_BYTES, TILE = 1024, 16, 1 << 23, 1 << 22
 
@@ -172,7 +170,7 @@ def _refine(nodes: DataFrame, edges: DataFrame, scratch: Scratch, name: str, thr
     return lists
 
 
-def _compare_all(nodes: DataFrame, scratch: Scratch, threshold: float, name: str) -> DataFrame:
+def _compare_all(nodes: DataFrame, scratch: Scratch, threshold: float) -> DataFrame:
     """Every node (node, component, weight, unit) compared with every other: rows (a, b, linked).
 
     Rows with ``linked`` say how much weight node ``a`` links with; the others are links between components ``a`` and
@@ -221,39 +219,9 @@ def _compare_all(nodes: DataFrame, scratch: Scratch, threshold: float, name: str
                         linked = pa.array(sums[some].tolist() + none * len(join), pa.int64())
                         yield pa.RecordBatch.from_arrays([a, b, linked], names=["a", "b", "linked"])
 
-        scratch.write(nodes.mapInArrow(run, schema), f"{name}/chunk={c}")
+        scratch.write(nodes.mapInArrow(run, schema), f"compared/chunk={c}")
         book.destroy()
-    return nodes.sparkSession.read.schema(schema).parquet(*(scratch.path(f"{name}/chunk={c}") for c in range(chunks)))
-
-
-def _audit(nodes: DataFrame, counted: DataFrame, threshold: float) -> float:
-    """The share of the sample's links that was found. The sample is the nodes of the least hash, at most AUDIT of them."""
-    sample = nodes.orderBy(F.xxhash64("node"), "node").limit(AUDIT).select("node", "unit").collect()
-    if not sample:
-        return 1.0
-    book = nodes.sparkSession.sparkContext.broadcast(sample)
-
-    def run(batches):
-        by: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for r in book.value:
-            by.setdefault(len(r["unit"]), []).append(r)
-        by = {d: (np.array([r["node"] for r in rs]), np.stack([np.frombuffer(r["unit"], np.float64) for r in rs])) for d, rs in by.items()}
-        sums: dict[int, int] = {}
-        for batch in batches:
-            sizes = np.array([len(u.as_buffer()) for u in batch.column("unit")])
-            for d, (who, q) in by.items():
-                part = batch.filter(pa.array(sizes == d))
-                for a in range(0, part.num_rows, 4096):
-                    p = part.slice(a, 4096)
-                    node, weight = p.column("node").to_numpy(), p.column("weight").to_numpy()
-                    hit = (q @ _matrix(p.column("unit")).T >= threshold) & (who[:, None] != node)
-                    for k, v in zip(who.tolist(), (hit @ weight).tolist(), strict=True):
-                        sums[k] = sums.get(k, 0) + v
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(list(sums.values()), pa.int64())], names=["node", "truth"])
-
-    truth = nodes.select("node", "weight", "unit").mapInArrow(run, "node long, truth long").groupBy("node").agg(F.sum("truth").alias("truth"))
-    got = truth.join(counted, "node", "left").agg(F.sum("truth").alias("truth"), F.sum(F.least("truth", F.coalesce("linked", F.lit(0)))).alias("found")).first()
-    return (got["found"] or 0) / got["truth"] if got["truth"] else 1.0
+    return nodes.sparkSession.read.schema(schema).parquet(*(scratch.path(f"compared/chunk={c}") for c in range(chunks)))
 
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, vector: str = "embedding") -> DataFrame:
@@ -269,22 +237,16 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, vector: str =
     nodes = rows.where("h is not null").groupBy("h").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("unit").alias("unit"))
     nodes = scratch.write(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     count = nodes.count()
-    edges = None
-    for start in range(STARTS):
-        found = _start(nodes, count, start * TABLES, LIST)
-        edges = found if edges is None else edges.select("a", "b", "s").union(found)
-        edges = _refine(nodes, edges, scratch, f"lists-{start}", threshold)
-        links = _cosines(edges.where(F.col("s") >= threshold - 1e-4).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), nodes).where(F.col("s") >= threshold)
-        labels = components(links, scratch, f"components-{start}")
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        placed = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        placed = scratch.write(placed.select("node", "component", "weight", "unit").repartition(n, "node"), f"placed-{start}")
-        compared = _compare_all(placed, scratch, threshold, f"compared-{start}")
-        counted = compared.where("linked is not null").groupBy(F.col("a").alias("node")).agg(F.sum("linked").alias("linked"))
-        joined = components(compared.where("linked is null").select("a", "b"), scratch, f"joined-{start}").select(F.col("node").alias("component"), F.col("component").alias("to"))
-        labels = placed.select("node", "component").join(joined, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-        if _audit(nodes, counted, threshold) >= RECALL:
-            break
+    edges = _refine(nodes, _start(nodes, count, 0, LIST), scratch, "lists", threshold)
+    links = _cosines(edges.where(F.col("s") >= threshold - 1e-4).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), nodes).where(F.col("s") >= threshold)
+    labels = components(links, scratch, "components")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = scratch.write(placed.select("node", "component", "weight", "unit").repartition(n, "node"), "placed")
+    compared = _compare_all(placed, scratch, threshold)
+    counted = compared.where("linked is not null").groupBy(F.col("a").alias("node")).agg(F.sum("linked").alias("linked"))
+    joined = components(compared.where("linked is null").select("a", "b"), scratch, "joined").select(F.col("node").alias("component"), F.col("component").alias("to"))
+    labels = placed.select("node", "component").join(joined, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
     of = nodes.select("node", "h", "rep", "weight").join(labels, "node").join(counted, "node", "left")
     least = of.where("component is not null").groupBy("component").agg(F.min("rep").alias("least"))
     of = of.join(least, "component", "left").select("h", (F.col("weight") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("least", "rep").alias("component_id"))

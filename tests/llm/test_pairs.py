@@ -254,3 +254,11 @@ def test_groups_linked_across_full_lists(spark, monkeypatch):
     one = units(rng.normal(size=(1, 64)))
     centres = np.concatenate([one, at_cosine(rng, one, 0.965)])
     same_as_all_pairs(spark, units(np.repeat(centres, 80, axis=0) + rng.normal(size=(160, 64)) * 0.008))
+
+
+def test_pairs_beside_a_hot_group(spark):
+    """Links of the large group outnumber those of 700 pairs close to the threshold."""
+    rng = np.random.default_rng(12)
+    base = units(rng.normal(size=(700, 64)))
+    hot = units(rng.normal(size=(1, 64)) + rng.normal(size=(500, 64)) * 0.05)
+    same_as_all_pairs(spark, np.concatenate([hot, base, at_cosine(rng, base, 0.9505)]))
