@@ -262,3 +262,9 @@ def test_pairs_beside_a_hot_group(spark):
     base = units(rng.normal(size=(700, 64)))
     hot = units(rng.normal(size=(1, 64)) + rng.normal(size=(500, 64)) * 0.05)
     same_as_all_pairs(spark, np.concatenate([hot, base, at_cosine(rng, base, 0.9505)]))
+
+
+def test_links_that_no_search_finds(spark, monkeypatch):
+    """Without any candidate from the search, all links and components are there all the same."""
+    monkeypatch.setattr(nn_descent, "FLOOR", 2.0)
+    same_as_all_pairs(spark, np.array(vector_rows(clusters=4, size=12, alone=60), np.float64))
