@@ -28,9 +28,10 @@ WORDS, SIMILARITY = 5, 0.8
 SIZES = ((1, 60, 3, 24), (40, 1 << 62, 6, 40))
 #: A task looks for a sketch's first shingles among about so many per text before it looks at all of them.
 NARROW = 28
-#: Buckets of so few members have all unconnected pairs aligned; in larger ones a pair first has to agree on so many
-#: sketches (a pair at the threshold does but for 7 in 10,000), compared in blocks of so many members.
-FEW, AGREE, BLOCK = 8, 3, 512
+#: Buckets of so few members are aligned pair by pair; larger ones in blocks of so many members.
+FEW, BLOCK = 8, 512
+#: Shingles and columns that a task holds at once while it counts what members of a block have in common.
+COUNTED, COLUMNS = 2_000_000, 4096
 #: Shingles that a task keeps ready while it aligns the pairs of two blocks.
 HELD_SHINGLES = 4_000_000
 #: Rows of an alignment after which columns behind the band are dropped.
@@ -220,12 +221,40 @@ def _verify(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long, similarity double")
 
 
+def _in_common(left: list, right: list) -> np.ndarray:
+    """How many labelled shingles each text of ``left`` has in common with each of ``right``; all are words as bytes."""
+    sizes = [len(w) // 8 for w in (*left, *right)]
+    parts = max(1, -(-sum(sizes) // COUNTED))
+    out = np.zeros((len(left), len(right)), np.float32)
+    for part in range(parts):
+        kept = []
+        for w in (*left, *right):
+            g = np.sort(shingle_sequence(np.frombuffer(w, np.uint64)))
+            g = g[g % np.uint64(parts) == part]
+            kept.append(mix(g + (np.arange(len(g)) - np.searchsorted(g, g)).astype(np.uint64) * BASE))
+        owner = np.repeat(np.arange(len(kept)), [len(g) for g in kept])
+        _, column = np.unique(np.concatenate(kept), return_inverse=True)
+        here, there = (np.bincount(column[x], minlength=len(column)) > 0 for x in (owner < len(left), owner >= len(left)))
+        number = np.cumsum(here & there) - 1
+        use = (here & there)[column]
+        owner, column = owner[use], number[column[use]]
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        for first in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+            a, b = np.searchsorted(column, [first, first + COLUMNS])
+            x = np.zeros((len(kept), COLUMNS), np.float32)
+            x[owner[a:b], column[a:b] - first] = 1
+            out += x[: len(left)] @ x[len(left) :].T
+    return out
+
+
 def _crowded(rows: DataFrame, nodes: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
-    """Links among members of large buckets that aren't connected, of pairs of fitting sizes that agree on AGREE sketches or more.
+    """Links among members of large buckets that aren't connected, of all pairs of fitting sizes.
 
     Texts that share a passage meet in large buckets and are alike in little else. A bucket is dealt into blocks, and each
     pair of blocks is one piece of work that aligns its pairs where they lie, so no more rows are made than members
-    have blocks. A pair that meets in many buckets is aligned in that of the first sketch on which it agrees.
+    have blocks. A pair that meets in many buckets is aligned in that of the first sketch on which it agrees, unless
+    the two have too few shingles in common, in whatever order, to be alike.
     """
     rows = rows.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -238,23 +267,24 @@ def _crowded(rows: DataFrame, nodes: DataFrame, words: DataFrame, similarity: fl
         node, n, mine, label = (run.column(c).to_numpy() for c in ("node", "n", "mine", "component"))
         i, j = (np.flatnonzero(mine == run.column(c)[0].as_py()) for c in ("lo", "hi"))
         keys = run.column("keys").to_pylist()
-        agree, seen, here = (np.zeros((len(i), len(j)), bool) for _ in range(3))
+        seen, here = (np.zeros((len(i), len(j)), bool) for _ in range(2))
         for kind, (least, most, _, count) in enumerate(SIZES):
             have = (n >= least) & (n < most)
             # Keys of a text are those of its first range, then those of its last; others get numbers that equal nothing.
             x = np.array([(k[:count] if kind == 0 else k[-count:]) if ok else [0] * count for k, ok in zip(keys, have, strict=True)], np.int64).reshape(len(keys), count)
-            same = np.zeros((len(i), len(j)), np.int16)
             both = have[i][:, None] & have[j]
             for c in range(count):
                 equal = (x[i, c][:, None] == x[j, c]) & both
-                same += equal
                 here |= equal & ~seen & (x[i, c] == bucket)[:, None]
                 seen |= equal
-            agree |= same >= AGREE
-        agree &= here
-        agree &= (label[i][:, None] != label[j]) & (node[i][:, None] < node[j] if run.column("lo")[0] == run.column("hi")[0] else True)
+        agree = here & (label[i][:, None] != label[j]) & (node[i][:, None] < node[j] if run.column("lo")[0] == run.column("hi")[0] else True)
         agree &= np.minimum(n[i][:, None], n[j]) >= (similarity - 1e-9) * np.maximum(n[i][:, None], n[j])
         texts, known, size, found = run.column("words"), {}, 0, []
+        if agree.any():
+            left, right = (np.flatnonzero(agree.any(axis=x)) for x in (1, 0))
+            common = _in_common([texts[r].as_buffer() for r in i[left].tolist()], [texts[r].as_buffer() for r in j[right].tolist()])
+            need = np.ceil(similarity * (n[i[left]][:, None] + n[j[right]]) / (1 + similarity) - 1e-9)
+            agree[np.ix_(left, right)] &= common >= need
 
         def sequence(r: int) -> np.ndarray:
             nonlocal size

@@ -1,6 +1,7 @@
 """Near duplicates, vectors and the pipeline against brute force."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -268,3 +269,29 @@ def test_links_that_no_search_finds(spark, monkeypatch):
     """Without any candidate from the search, all links and components are there all the same."""
     monkeypatch.setattr(nn_descent, "FLOOR", 2.0)
     same_as_all_pairs(spark, np.array(vector_rows(clusters=4, size=12, alone=60), np.float64))
+
+
+def test_crowded_pair_with_one_sketch(spark, monkeypatch):
+    """Ten texts meet in one bucket and agree on nothing else; the two that are alike are a link."""
+    monkeypatch.setattr(minhash, "COUNTED", 50, raising=False)
+    rng = np.random.default_rng(13)
+    texts = [rng.integers(1, 1 << 60, 30).astype(np.uint64) for _ in range(10)]
+    texts[6] = np.concatenate([texts[2], texts[2][:2]])
+    n = [len(minhash.shingle_sequence(t)) for t in texts]
+    bucket = spark.createDataFrame([(7, i, n[i], 10, i) for i in range(10)], "k long, node long, n long, members long, component long")
+    nodes = spark.createDataFrame([(i, [7] + [1000 + 100 * i + j for j in range(1, 24)]) for i in range(10)], "node long, keys array<long>")
+    words = spark.createDataFrame([(i, bytearray(t.tobytes())) for i, t in enumerate(texts)], "node long, words binary")
+    got = [(r["a"], r["b"]) for r in minhash._crowded(bucket, nodes, words, 0.8).collect()]
+    assert got == [(2, 6)]
+
+
+def test_shingles_in_common(monkeypatch):
+    rng = np.random.default_rng(14)
+    texts = [np.tile(rng.integers(1, 4, int(rng.integers(0, 30))), 2).astype(np.uint64) for _ in range(12)]
+    counts = [Counter(minhash.shingle_sequence(t).tolist()) for t in texts]
+    left, right = [t.tobytes() for t in texts[:5]], [t.tobytes() for t in texts[5:]]
+    want = [[(x & y).total() for y in counts[5:]] for x in counts[:5]]
+    for counted, columns in ((minhash.COUNTED, minhash.COLUMNS), (37, 3)):
+        monkeypatch.setattr(minhash, "COUNTED", counted)
+        monkeypatch.setattr(minhash, "COLUMNS", columns)
+        assert minhash._in_common(left, right).tolist() == want
