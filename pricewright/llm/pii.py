@@ -20,8 +20,8 @@ DEMO_KEY = "pricewright-demo-key"
 #: What candidates look like. A candidate never starts or ends inside a longer run of letters or digits.
 START, END = r"(?<![\p{L}0-9])", r"(?![\p{L}0-9])"
 SHAPES = {
-    "email": r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]{1,64}+@[\p{L}0-9-]{1,63}(?:\.[\p{L}0-9-]{1,63})+",
-    "secret": START + r"(?:[Aa][Kk][Ii][Aa][0-9A-Za-z]{16}|[0-9a-f]{32,128}|[0-9A-F]{32,128}|(?:sk|pk|ghp|gho|xox[abp])[_-][0-9A-Za-z_-]{16,200})" + END,
+    "email": r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]++@[\p{L}0-9-]++(?:\.[\p{L}0-9-]++)+",
+    "secret": START + r"(?:[Aa][Kk][Ii][Aa][0-9A-Za-z]{16}|[0-9a-f]{32,}+|[0-9A-F]{32,}+|(?:sk|pk|ghp|gho|xox[abp])[_-][0-9A-Za-z_-]{16,})" + END,
     "iban": START + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + END,
     "ip": r"(?<![\p{L}0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?!\.?[0-9])" + END,
     "date": START + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})" + END,
@@ -182,8 +182,10 @@ def _email(m: Column, key: str) -> Column:
 
 def _secret(m: Column, key: str) -> Column:
     low = F.lower(m)
-    fill = F.substring(F.concat(*(_keyed(low, key, f"secret{i}") for i in range(4))), F.lit(1), F.length(m))
-    return F.when(F.length(m) > 256, F.repeat(F.lit("0"), F.length(m))).when(m == F.upper(m), F.upper(fill)).otherwise(fill)
+    piece = lambda i: F.sha2(F.concat_ws(":", F.lit(key), F.concat(F.lit("secret"), i.cast("string")), low), 256)
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length(m) - 1) / 64).cast("int")), piece)
+    fill = F.substring(F.array_join(pieces, ""), F.lit(1), F.length(m))
+    return F.when(m == F.upper(m), F.upper(fill)).otherwise(fill)
 
 
 MAKERS = {"email": _email, "secret": _secret, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}

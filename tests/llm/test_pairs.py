@@ -1,5 +1,6 @@
 """Near duplicates, vectors and the pipeline against brute force."""
 
+import hashlib
 import random
 from collections import Counter
 
@@ -295,3 +296,17 @@ def test_shingles_in_common(monkeypatch):
         monkeypatch.setattr(minhash, "COUNTED", counted)
         monkeypatch.setattr(minhash, "COLUMNS", columns)
         assert minhash._in_common(left, right).tolist() == want
+
+
+def test_long_addresses_and_secrets(spark):
+    key = "k"
+
+    def fill(m):
+        return "".join(hashlib.sha256(f"{key}:secret{i}:{m.lower()}".encode()).hexdigest() for i in range(len(m) // 64 + 1))[: len(m)]
+
+    values = ["a1" * 20, "0f" * 64, "0f" * 150, "sk_" + "aB3" * 60, "ghp_" + "aB3" * 200, "sk-" + "x9" * 20_000]
+    mails = ["x" * 65 + "@example.com", "name@" + "y" * 64 + ".org"]
+    rows = spark.createDataFrame([(i, f"see {v} here") for i, v in enumerate(values + mails)], "doc_id long, text string")
+    got = [r["text"] for r in pii.pseudonymize(rows, key, count="n").orderBy("doc_id").collect()]
+    assert got[: len(values)] == [f"see {fill(v)} here" for v in values]
+    assert all(g.endswith(".invalid here") and v not in g for g, v in zip(got[len(values) :], mails, strict=True))
