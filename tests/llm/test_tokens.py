@@ -225,3 +225,70 @@ def test_byte_bpe_table(bpe, odd_docs, no_docs):
         assert r["ids"] == want and r["n_tokens"] == len(want) and bytes(r["decoded"]) == (texts[r["doc_id"]] or "").encode()
         assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, want)).encode()).hexdigest()
     assert byte_bpe.encode_documents(no_docs, raw, public_tokenizers.PATTERN).count() == 0
+
+
+def _long_words():
+    import random
+
+    r = random.Random(1)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    yield "equal letters", "a" * 1_000_000
+    yield "random letters", "".join(r.choices(letters, k=1_000_000))
+    yield "random ideographs", "".join(chr(r.randint(0x4E00, 0x9FFF)) for _ in range(1_000_000))
+    yield "equal letters after a space", "x " + "b" * 200_003
+    yield "a period of letters", "abcab" * 60_000
+    yield "words without spaces", "theninganother" * 20_000
+    yield "digits", "0123456789" * 30_000
+    yield "marks", "=-" * 50_000
+    yield "spaces", " " * 100_003 + "x"
+    yield "one ideograph", "中" * 100_001
+    for n in (63, 64, 65, 127, 129, 1000):
+        yield f"{n} letters", "".join(r.choices("etaoin", k=n))
+
+
+def test_byte_bpe_long_words(bpe):
+    """Words of any number of bytes give the library's ids, in time that grows with them."""
+    import time
+
+    _, own, library = bpe
+    for name, text in _long_words():
+        start = time.process_time()
+        n, names, raws = own.encode_texts(pa.array([text]))
+        assert time.process_time() - start < 40, name
+        assert names[0].as_py() == ",".join(map(str, library.encode_ordinary(text))) and raws[0].as_py() == text.encode(), name
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="ab cdeé中", min_size=1, max_size=9), min_size=1, max_size=3), st.integers(1, 400))
+def test_byte_bpe_seams(bpe_module, parts, times):
+    _, own, library = bpe_module
+    text = "".join(parts) * times
+    assert own.encode_texts(pa.array([text]))[1][0].as_py() == ",".join(map(str, library.encode_ordinary(text)))
+
+
+def test_byte_bpe_forgets(bpe, monkeypatch):
+    """Words that came up again stay known when there are too many; ids don't depend on it."""
+    _, own, library = bpe
+    monkeypatch.setattr(byte_bpe, "CACHE_WORDS", 300)
+    for k in range(12):
+        texts = [f"common{i % 40}q once{k}x{i}z" for i in range(150)]
+        _, names, _ = own.encode_texts(pa.array(texts))
+        assert names.to_pylist() == [",".join(map(str, library.encode_ordinary(t))) for t in texts]
+    assert len(own.known) <= 300 + 400 and len(own.known) == len(own.counts) == len(own.names) == len(own.raws)
+
+
+def test_byte_bpe_ranks_of_another_order():
+    """Ranks that aren't in order of training: a token may rank below one that it holds."""
+    import random
+
+    r = random.Random(3)
+    for _ in range(30):
+        tokens = {bytes([b]) for b in range(256)} | {"".join(r.choices("abc", k=r.randint(2, 5))).encode() for _ in range(25)}
+        order = sorted(tokens)
+        r.shuffle(order)
+        vocabulary = b"\n".join(base64.b64encode(t) + b" " + str(i).encode() for i, t in enumerate(order))
+        own = byte_bpe.DuckBpe(vocabulary, public_tokenizers.PATTERN)
+        library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks={t: i for i, t in enumerate(order)}, special_tokens={})
+        for n in (3, 20, 60, 200, 700):
+            text = "".join(r.choices("abc", k=n))
+            assert own.encode_texts(pa.array([text]))[1][0].as_py() == ",".join(map(str, library.encode_ordinary(text)))
