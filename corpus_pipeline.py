@@ -13,22 +13,25 @@ from pricewright.llm.common import Scratch, on_executors, read_local
 
 
 def quality_stage(spark, docs, sf_dir):
+    """The rows in the sample; null and empty texts weigh nothing, and without good labels all rows stay."""
     on_executors(spark)
     return quality.keep_sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicate_stage(spark, docs, sf_dir):
+    """One row of each class, that of the least id; null and empty texts are copies of each other, of equal rows one stays."""
     on_executors(spark)
     return minhash.keep_one(docs)
 
 
 def pii_stage(spark, docs, sf_dir):
-    """n_chars follows the text."""
-    changed = pii.pseudonymize(docs, pii.DEMO_KEY)
+    """n_chars follows the text; a null text stays null. The session's ``spark.pricewright.pii.key`` is the key, else the one for demonstrations."""
+    changed = pii.pseudonymize(docs, spark.conf.get(pii.KEY_SETTING, pii.DEMO_KEY))
     return changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def packing_stage(spark, docs, sf_dir):
+    """Pieces of all documents and their places in sequences; a null text is empty, so its end id alone is packed."""
     import public_tokenizers
 
     on_executors(spark)
