@@ -13,6 +13,7 @@ import re
 from functools import lru_cache
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -21,7 +22,11 @@ from .html_pages import labelled_pages
 
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript textarea title iframe svg math object select canvas audio video head".split())
+#: Text up to the end tag, whatever it holds; without one up to the end of the page.
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
+#: Elements whose content isn't text of the page. Foreign ones end at a tag that can't be in them.
+FOREIGN = frozenset("svg math".split())
+HIDDEN = FOREIGN | frozenset("template noscript object select canvas audio video datalist".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -39,10 +44,21 @@ IMPLIED = {
     "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}),
     "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}),
 }
-MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
+#: A comment (which ``--!>`` ends as well), a section of character data, another declaration, or a tag; quotes count only after an equals sign.
+MARKUP = re.compile(
+    r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:"[^"]*"|'[^']*')?+)*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S
+)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 LABEL = re.compile(r'data-y="([01])"')
 WORD = re.compile(r"[a-z]+")
+#: Words that tell what short texts are about.
+TELLING = frozenset(
+    "about account ad add advert advertisement advertising all also archive archives back blog browse cart categories category checkout close comment comments contact cookie cookies copyright customer email facebook faq feed follow forgot forum help home "
+    "impressum inc instagram join latest legal like linkedin log login logout ltd mail menu more my navigation news newsletter next notice page pages password policy popular post posts powered previous print privacy products published recent recommended register related "
+    "replies reply reserved rights rss search settings share shop sign signup sitemap skip sponsored stories story subscribe support tag tagged tags terms toggle top topics trending twitter username website welcome you your".split()
+)
+#: Own texts of more characters than this aren't looked at for telling words.
+SHORT = 160
 
 
 class Page:
@@ -50,11 +66,15 @@ class Page:
 
     def __init__(self, html: str, labels: bool = False):
         self.tag, self.parent, self.names, self.label = ["#page"], [-1], [()], [0]
-        self.text, self.linked = [0], [0]
+        self.text, self.linked, self.before = [0], [0], [0]
+        self.short: dict[int, str] = {}
+        self.stops: dict[int, bool] = {}
         self.blocks: list[list[tuple[int, str]]] = []
         self._run: list[tuple[int, str]] = []
         self._read(html, labels)
         self._flush()
+        if labels:  # text outside all elements is the article's
+            self.label[0] = int(self.text[0] > 0)
 
     def _flush(self) -> None:
         if self._run:
@@ -62,53 +82,101 @@ class Page:
             self._run = []
 
     def _read(self, html: str, labels: bool) -> None:
-        stack, link, pos, end = [0], False, 0, len(html)
+        stack, pos, end, total = [0], 0, len(html), 0
         tag_of, search = self.tag, MARKUP.search
+        open_: dict[str, int] = {}  # how many elements of a tag are open
+        last_end: dict[str, int] = {}  # where the last end tag of a hidden element is
+        hidden = link = 0
+
+        def close(i: int) -> None:
+            nonlocal hidden
+            for k in stack[i:]:
+                open_[tag_of[k]] -= 1
+                hidden -= tag_of[k] in HIDDEN
+            del stack[i:]
+
+        def close_nearest(ends, until) -> None:
+            if any(open_.get(t) for t in ends):
+                for i in range(len(stack) - 1, 0, -1):
+                    if tag_of[stack[i]] in ends:
+                        close(i)
+                    elif tag_of[stack[i]] in until:
+                        break
+
+        def add(name: str, names=(), label: int = 0, inside: bool = True) -> None:
+            tag_of.append(name)
+            self.parent.append(stack[-1])
+            self.names.append(names)
+            self.text.append(0)
+            self.linked.append(0)
+            self.before.append(total)
+            self.label.append(label)
+            if inside:
+                stack.append(len(tag_of) - 1)
+                open_[name] = open_.get(name, 0) + 1
+
         while pos < end:
             m = search(html, pos)
             stop = m.start() if m else end
-            if stop > pos:
+            if stop > pos and not hidden:
                 text = unescape(html[pos:stop])
                 if n := len(text) - text.count(" "):
                     at = stack[-1]
                     self.text[at] += n
+                    total += n
                     if link:
                         self.linked[at] += n
+                    if self.text[at] <= SHORT:
+                        self.short[at] = self.short.get(at, "") + " " + text
+                    if mark := text.rstrip()[-1:]:
+                        self.stops[at] = mark in ".!?:…。"
                 self._run.append((stack[-1], text))
             if not m:
                 break
             pos = m.end()
             name = m[2] or m[5]
             if name is None:
-                if m[0].startswith("<![CDATA["):
+                if m[0].startswith("<![CDATA[") and not hidden:
                     self._run.append((stack[-1], m[0][9:].removesuffix("]]>")))
                 continue
             name, closing, attrs = name.lower(), m[1] or m[4], m[3] or m[6] or ""
+            if name == "br" and not hidden:
+                self._run.append((stack[-1], " "))
+                continue
             if closing:
                 if name == "a":
-                    link = False
-                if name not in INLINE or any(tag_of[k] == name for k in stack[-8:]):
-                    if name in BLOCK:
-                        self._flush()
+                    link = 0
+                if name in BLOCK and not hidden:
+                    self._flush()
+                if open_.get(name) and name not in ("body", "html"):
                     for i in range(len(stack) - 1, 0, -1):
                         if tag_of[stack[i]] == name:
-                            if name not in ("body", "html"):
-                                del stack[i:]
+                            close(i)
                             break
                         if name == "p" and tag_of[stack[i]] in ("td", "li", "div", "article", "section"):
                             break
                 continue
             if name in RAW:
-                close = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(html, pos)
-                if name != "head":
-                    pos = close.end() if close else end
-                elif close:
-                    pos = close.end()
+                found = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(html, pos)
+                pos = found.end() if found else end
+                continue
+            if name == "head":
+                found = re.compile(r"</head\b[^>]*>|<body\b", re.I).search(html, pos)
+                pos = (found.start() if found[0][1] != "/" else found.end()) if found else pos
+                continue
+            if hidden and name in BLOCK and tag_of[stack[-1]] in FOREIGN:
+                close_nearest(FOREIGN, ())
+            if name in HIDDEN:
+                # An element that never ends, or ends in itself, has nothing in it.
+                if name not in last_end:
+                    last_end[name] = max((x.start() for x in re.compile(rf"</{name}\b", re.I).finditer(html)), default=-1)
+                if last_end[name] > pos and not (name in FOREIGN and attrs.rstrip().endswith("/")):
+                    add(name)
+                    hidden += 1
                 continue
             if name == "a":
-                link = True
-            if name == "br":
-                self._run.append((stack[-1], " "))
+                link = 1
+            if hidden and name not in BLOCK:
                 continue
             found = NAMES.findall(attrs) if attrs else ()
             if name in VOID:
@@ -118,51 +186,57 @@ class Page:
             if name in INLINE and not found and not (labels and LABEL.search(attrs)):
                 continue
             if name in BLOCK:
-                self._flush()
-                if name in CLOSES_P:
-                    for i in range(len(stack) - 1, 0, -1):
-                        if tag_of[stack[i]] == "p":
-                            del stack[i:]
-                            break
-                        if tag_of[stack[i]] in BLOCK:
-                            break
+                if not hidden:
+                    self._flush()
+                if name in CLOSES_P and open_.get("p"):
+                    close_nearest({"p"}, BLOCK)
                 if name in IMPLIED:
-                    ends, until = IMPLIED[name]
-                    for i in range(len(stack) - 1, 0, -1):
-                        if tag_of[stack[i]] in until:
-                            break
-                        if tag_of[stack[i]] in ends:
-                            del stack[i:]
+                    close_nearest(*IMPLIED[name])
             if name in ("html", "body") and name in tag_of[:3]:
                 continue
-            tag_of.append(name)
-            self.parent.append(stack[-1])
-            self.names.append(tuple(dict.fromkeys(WORD.findall(" ".join(x for t in found for x in t if x).lower()))) if found else ())
-            self.text.append(0)
-            self.linked.append(0)
-            if labels:
-                y = LABEL.search(attrs)
-                self.label.append(int(y[1]) if y else 0)
-            if not attrs.endswith("/") or name in BLOCK:
-                stack.append(len(tag_of) - 1)
+            y = LABEL.search(attrs) if labels else None
+            names = tuple(dict.fromkeys(WORD.findall(" ".join(x for t in found for x in t if x).lower()))) if found else ()
+            add(name, names, int(y[1]) if y else 0, not attrs.endswith("/") or name in BLOCK)
+
+    def features(self) -> tuple[list[int], list[list[str]]]:
+        """The elements that hold any text (and the page itself), and names of the features that each of them has.
 
-    def features(self) -> list[list[str]]:
-        """Names of the features that each element has."""
+        An element without text says nothing about what it stands in, however many there are.
+        """
         n = len(self.tag)
         size, linked = self.text[:], self.linked[:]
+        headed, alike = [False] * n, {}
         for i in range(n - 1, 0, -1):
-            size[self.parent[i]] += size[i]
-            linked[self.parent[i]] += linked[i]
-        headed = [False] * n
-        for i in range(n - 1, 0, -1):
+            p = self.parent[i]
+            size[p] += size[i]
+            linked[p] += linked[i]
             if self.tag[i] == "h1":
-                headed[self.parent[i]] = True
-        out = []
-        for i in range(n):
-            own, all_ = self.text[i], size[i]
+                headed[p] = True
+            if size[i]:
+                alike[p, self.tag[i]] = alike.get((p, self.tag[i]), 0) + 1
+        total = size[0] or 1
+        region = "article" if "article" in self.tag else "main" if "main" in self.tag else "none"
+        out, kept = [], [i for i in range(n) if size[i] or not i]
+        for i in kept:
+            own, all_, tag, p = self.text[i], size[i], self.tag[i], max(self.parent[i], 0)
             share = 4 * linked[i] // all_ if all_ else 5
-            out.append(["bias", f"tag {self.tag[i]}", f"own {own.bit_length() // 2}", f"all {all_.bit_length() // 2}", f"links {share}", f"in {self.tag[self.parent[i]] if i else ''} {self.tag[i]}", f"headed {headed[i]} {self.tag[i]}", *(f"name {w}" for w in self.names[i])])
-        return out
+            part = (all_ * 50 // total).bit_length() if all_ else -1
+            after = total - self.before[i] - all_
+            place = "first" if all_ and not self.before[i] else "last" if all_ and after <= 0 else str(4 * self.before[i] // total)
+            one = [
+                "bias", f"tag {tag}", f"own {own.bit_length() // 2}", f"all {all_.bit_length()}", f"links {share}", f"in {self.tag[p]} {tag}", f"headed {headed[i]} {tag}", f"part {part}", f"whole {all_ == total} {tag}", f"holds {own > 0} {tag}", f"mine {4 * own // total} {tag}",
+                f"place {place}", f"place {place} {tag}", f"region {region} {tag}", f"alike {min(3, alike.get((p, tag), 0))} {tag}", f"{tag} {all_.bit_length() // 2} {share}",
+                f"stop {self.stops.get(i)} {min(own.bit_length(), 7)}", *(f"name {w}" for w in self.names[i]),
+            ]
+            if 0 < own <= SHORT and i in self.short:
+                told = set(WORD.findall(self.short[i].lower())) & TELLING
+                one += [f"word {w}" for w in told]
+                if told:
+                    one.append(f"telling {min(3, len(told))} {min(own.bit_length(), 8)}")
+                if "©" in self.short[i]:
+                    one.append("word copyright")
+            out.append(one)
+        return kept, out
 
 
 class TreeModel:
@@ -202,41 +276,64 @@ class TreeModel:
         return [sum([get(f, 0.0) for f in fs]) for fs in features]
 
     def content(self, page: Page) -> list[float]:
-        return self.marginals(page.parent, self.score(page.features()))[0]
-
-    def train(self, pages: list[Page], rounds: int = 60, rate: float = 0.5, decay: float = 1e-3) -> TreeModel:
-        """Gradient ascent of the log-likelihood of the labels, with a step for each weight that its past gradients shrink."""
-        data = [(p.parent, p.features(), p.label) for p in pages]
-        past: dict = {}
-        count = sum(len(p) for p, _, _ in data)
-
-        def move(key, value, g):
-            past[key] = past.get(key, 1e-8) + g * g
-            return value + rate * (g - decay * value) / math.sqrt(past[key])
+        kept, features = page.features()
+        place = {k: i for i, k in enumerate(kept)}
+        out = [0.0] * len(page.tag)
+        for k, q in zip(kept, self.marginals([place.get(page.parent[k], -1) for k in kept], self.score(features))[0], strict=True):
+            out[k] = q
+        return out
 
+    def train(self, pages: list[Page], rounds: int = 60, rate: float = 0.5, decay: float = 1e-5) -> TreeModel:
+        """Gradient ascent of the log-likelihood of the labels, with a step for each weight that its past gradients shrink.
+
+        All pages are one forest, whose messages pass level by level.
+        """
+        known: dict[str, int] = {}
+        at, of, parent, label, depth = [], [0], [], [], []
+        for page in pages:
+            kept, all_features = page.features()
+            place = {-1: -1} | {k: len(parent) + i for i, k in enumerate(kept)}
+            for k, features in zip(kept, all_features, strict=True):
+                at += [known.setdefault(f, len(known)) for f in features]
+                of.append(len(at))
+                parent.append(place[page.parent[k]])
+                label.append(page.label[k])
+                depth.append(depth[parent[-1]] + 1 if k else 0)
+        at, of, parent, label, depth = (np.array(x, np.int64) for x in (at, of, parent, label, depth))
+        count, below = len(parent), np.flatnonzero(parent >= 0)
+        levels = [np.flatnonzero(depth == d) for d in range(1, int(depth.max()) + 1)]
+        seen = np.bincount(label[parent[below]] * 2 + label[below], minlength=4)
+        w = np.zeros(len(known) + 4)
+        w[: len(known)] = [self.weights.get(f, 0.0) for f in known]
+        w[-4:] = np.array(self.edge).ravel()
+        past = np.full(len(w), 1e-8)
+        width = np.diff(of)
         for _ in range(rounds):
-            grads: dict[str, float] = {}
-            edge = [[0.0, 0.0], [0.0, 0.0]]
-            for parent, features, label in data:
-                got, pairs = self.marginals(parent, self.score(features))
-                for fs, q, y in zip(features, got, label, strict=True):
-                    for f in fs:
-                        grads[f] = grads.get(f, 0.0) + (y - q) / count
-                for i in range(1, len(parent)):
-                    edge[label[parent[i]]][label[i]] += 1 / count
-                for x in (0, 1):
-                    for y in (0, 1):
-                        edge[x][y] -= pairs[x][y] / count
-            for f, g in grads.items():
-                self.weights[f] = move(f, self.weights.get(f, 0.0), g)
-            for x in (0, 1):
-                for y in (0, 1):
-                    self.edge[x][y] = move((x, y), self.edge[x][y], edge[x][y])
+            e00, e01, e10, e11 = np.exp(w[-4:])
+            up = np.add.reduceat(w[at], of[:-1])
+            message = np.zeros(count)
+            for level in reversed(levels):
+                a = np.exp(np.clip(up[level], -500, 500))
+                message[level] = np.log((e10 + e11 * a) / (e00 + e01 * a))
+                np.add.at(up, parent[level], message[level])
+            total = up.copy()
+            for level in levels:
+                b = np.exp(np.clip(total[parent[level]] - message[level], -500, 500))
+                total[level] += np.log((e01 + e11 * b) / (e00 + e10 * b))
+            got = 1 / (1 + np.exp(-np.clip(total, -500, 500)))
+            a, b = np.exp(np.clip(up[below], -300, 300)), np.exp(np.clip(total[parent[below]] - message[below], -300, 300))
+            pairs = np.stack([np.full(len(below), e00), e01 * a, e10 * b, e11 * a * b])
+            pairs = (pairs / pairs.sum(axis=0)).sum(axis=1)
+            g = np.concatenate([np.bincount(at, np.repeat(label - got, width), len(known)), seen - pairs]) / count
+            past += g * g
+            w += rate * (g - decay * w) / np.sqrt(past)
+        self.weights = dict(zip(known, w.tolist(), strict=False))
+        self.edge = w[-4:].reshape(2, 2).tolist()
         return self
 
 
 #: Labelled pages that the model is trained on, and rounds.
-TRAINING_PAGES, TRAINING_ROUNDS = 320, 60
+TRAINING_PAGES, TRAINING_ROUNDS = 2000, 250
 
 
 @lru_cache(maxsize=1)
@@ -257,8 +354,9 @@ def main_text(html: str | None, model: TreeModel) -> str:
 def extract(pages: DataFrame, html: str = "html", model: TreeModel | None = None) -> DataFrame:
     """All columns but ``html``, with ``text`` and ``n_chars`` (code points).
 
-    Null or empty pages and pages without content give an empty text. Pages go through whole; unclosed, misnested and
-    cut markup is read as browsers do. Columns named text or n_chars are replaced. Repeated rows stay; no shuffle.
+    Null or empty pages and pages without content give an empty text. Pages go through whole. Unclosed, misnested and cut
+    markup is read much as browsers do: an element ends with its parent, and only scripts, styles and the like run to the
+    end of the page. Columns named text or n_chars are replaced. Repeated rows stay; no shuffle.
     """
     model = model or default_model()
     book = pages.sparkSession.sparkContext.broadcast((model.weights, model.edge))
