@@ -24,6 +24,8 @@ from .shingles import BASE, mix, ngrams, word_hashes
 from .words import slices
 
 WORDS, SIMILARITY = 5, 0.8
+#: Bytes of texts that are worked on at once; a longer text is worked on alone.
+SLICE_BYTES = 1_000_000
 #: (least shingles, most shingles, kept shingles of a sketch, sketches). The ranges overlap by more than a fifth, so two similar texts always share one.
 SIZES = ((1, 60, 3, 24), (40, 1 << 62, 6, 40))
 #: A task looks for a sketch's first shingles among about so many per text before it looks at all of them.
@@ -108,7 +110,7 @@ def sketch_table(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for s in slices(batch, "text", 2_000_000):
+            for s in slices(batch, "text", SLICE_BYTES):
                 x, k = labelled_shingles(s.column("text"))
                 keys = pa.array(sketches(x, k), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([s.column("doc_id").cast(pa.int64()), s.column("h"), pa.array(k.astype(np.int64)), keys], names=["doc_id", "h", "n", "keys"])
@@ -334,7 +336,7 @@ def _word_table(docs: DataFrame, nodes: DataFrame, rows: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for s in slices(batch, "text", 2_000_000):
+            for s in slices(batch, "text", SLICE_BYTES):
                 words, n = word_hashes(s.column("text"))
                 at = np.concatenate([[0], np.cumsum(n)])
                 yield pa.RecordBatch.from_arrays([s.column("node"), pa.array([words[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["node", "words"])
