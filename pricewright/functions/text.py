@@ -31,10 +31,8 @@ UNITS = {
 #: Of the offline profile alone, all pieces.
 MORE_PIECES = ("ρολλα", "ρολα", "φυλλα", "μεριδες", "μεζουρες")
 VOLUMES, DESIGNATOR = ("ml", "l"), "no"
-STOPWORDS = (
-    "the of and with for in on from to at pack value new kai me se sto sthn stoys stis toy ths ton twn h o ta oi oti ena mia "
-    "tem temaxio temaxia tmx fyllo fylla rolla rola merides"
-).split()
+#: Words that say nothing about a variant, in Latin letters, and the chains' own labels, which are no makers.
+STOPWORDS = "the of and with for in on from to at pack value new kai me se sto sthn stoys stis toy ths ton twn h o ta oi oti ena mia tem temaxio temaxia tmx fyllo fylla rolla rola merides".split()
 PRIVATE_LABELS = {
     "my-gusto": ("my gusto",),
     "ab": ("ab vassilopoulos", "ab choice"),
@@ -50,7 +48,7 @@ PRIVATE_LABELS = {
     "masoutis-pl": ("μασουτης",),
     "my-market-brand": ("my market",),
 }
-#: Makers of the worked examples. The full dictionary is a table of the installation: pass it as ``brands``.
+#: Makers of the worked examples. The full dictionary is a table of the installation: ``read_brands`` reads it, and every function takes it as ``brands``.
 BRANDS = {
     "coca-cola": ("coca-cola", "coca cola", "cocacola"),
     "pepsi": ("pepsi",),
@@ -71,6 +69,10 @@ BRANDS = {
 }
 
 
+#: Aliases of a maker dictionary at most; more would need a join instead of a pattern.
+MOST_ALIASES = 20_000
+
+
 @lru_cache(maxsize=1)
 def _accents() -> tuple[str, str]:
     """Letters with marks and their plain letters, of all scripts up to Greek Extended, by canonical decomposition."""
@@ -128,9 +130,14 @@ def _alternatives(names: Sequence[str]) -> str:
     return "|".join(re.escape(n).replace(r"\-", "-").replace(r"\ ", " ") for n in sorted(names, key=lambda n: (-len(n), n)))
 
 
+#: What may stand before and after an alias in a name: white space, these marks, and a bracket that opens or closes.
+MARKS = "-/.,"
+BEFORE, AFTER = (rf"\s{re.escape(MARKS)}{bracket}" for bracket in (r"(\[", r")\]"))
+
+
 def _at_start(names: Sequence[str]) -> str:
     """One of the names after at most one word, between separators."""
-    return rf"(?U)^(?:[^\s]*[\s\-/.,(\[])??(?:\s*)({_alternatives(names)})(?=$|[\s\-/.,)\]])"
+    return rf"(?U)^(?:[^\s]*[{BEFORE}])??(?:\s*)({_alternatives(names)})(?=$|[{AFTER}])"
 
 
 def manufacturer(name: Column, brands: Mapping[str, Sequence[str]] = BRANDS, private: Mapping[str, Sequence[str]] = PRIVATE_LABELS) -> Column:
@@ -147,6 +154,20 @@ def manufacturer(name: Column, brands: Mapping[str, Sequence[str]] = BRANDS, pri
     return F.when(~own, F.element_at(key, alias))
 
 
+def read_brands(table) -> dict[str, tuple[str, ...]]:
+    """A maker dictionary from a table with the columns ``maker`` and ``alias``, one row an alias; aliases lose accents and capitals.
+
+    Rows without either are left out. The dictionary goes into patterns, so it is for thousands of makers, not millions.
+    """
+    rows = table.select("maker", normalize(F.col("alias")).alias("alias")).where("maker is not null and alias <> ''").distinct().orderBy("maker", "alias").limit(MOST_ALIASES + 1).collect()
+    if len(rows) > MOST_ALIASES:
+        raise ValueError(f"more than {MOST_ALIASES} aliases")
+    found: dict[str, list[str]] = {}
+    for r in rows:
+        found.setdefault(r["maker"], []).append(r["alias"])
+    return {maker: tuple(aliases) for maker, aliases in found.items()}
+
+
 def _unit_names(profile: str) -> dict[str, str]:
     names = {n: unit for unit, ns in UNITS.items() for n in ns}
     return names | ({n: "τεμ" for n in MORE_PIECES} if profile == "offline" else {})
@@ -194,10 +215,10 @@ def variant_tokens(name: Column, maker: Column, brands: Mapping[str, Sequence[st
     s = normalize(name)
     aliases = [a for names in brands.values() for a in names]
     key_of = F.create_map(*[F.lit(x) for k, names in brands.items() for a in names for x in (a, k)])
-    around = rf"(?:^|(?<=[\s\-/.,(\[]))({_alternatives(aliases)})(?=$|[\s\-/.,)\]])"
+    around = rf"(?:^|(?<=[{BEFORE}]))({_alternatives(aliases)})(?=$|[{AFTER}])"
     there = F.regexp_extract_all(s, F.lit(around), F.lit(1))
     own = F.filter(F.array_distinct(there), lambda a: F.element_at(key_of, a) == maker)
-    s = F.aggregate(F.coalesce(own, F.array().cast("array<string>")), s, lambda acc, a: F.regexp_replace(acc, F.concat(F.lit(r"(?:^|(?<=[\s\-/.,(\[]))\Q"), a, F.lit(r"\E(?=$|[\s\-/.,)\]])")), F.lit(" ")))
+    s = F.aggregate(F.coalesce(own, F.array().cast("array<string>")), s, lambda acc, a: F.regexp_replace(acc, F.concat(F.lit(rf"(?:^|(?<=[{BEFORE}]))\Q"), a, F.lit(rf"\E(?=$|[{AFTER}])")), F.lit(" ")))
     percents = F.array().cast("array<string>")
     if profile == "offline":
         number = F.regexp_extract_all(s, F.lit(r"([0-9]+(?:[.,][0-9]+)?)\s*%"), F.lit(1))

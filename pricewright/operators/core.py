@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -84,6 +85,18 @@ def numbered(df: DataFrame, seq: str, name: str, ties: Sequence[str] = (), piece
     return rows.withColumn(name, F.col("__before") + F.col("__rank")).drop("__range", "__r", "__before", "__rank")
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """The rows as a checkpoint in the folder that ``spark.checkpoint.dir`` names, so that rounds don't pile up in the plan and survive a lost executor."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        context.setCheckpointDir(at or "file://" + tempfile.mkdtemp(prefix="pricewright-"))
+    return df.checkpoint()
+
+
 def check_page(page: int, per_page: int) -> None:
     if page < 1:
         raise ValueError("page starts at 1")

@@ -64,16 +64,23 @@ def route(decided: Column, cos: Column, config: MatchConfig = MatchConfig(), use
 
 
 def blocks(features: DataFrame) -> DataFrame:
-    """Features with the size of their block; those without a maker have none."""
-    return features.where("manufacturer is not null").withColumn("block_size", F.count("*").over(Window.partitionBy(*BLOCK)))
+    """Features with the size of their block; those without a maker have none. Sizes are counted first, so no task gathers a block."""
+    rows = features.where("manufacturer is not null")
+    sizes = rows.groupBy(*BLOCK).agg(F.count("*").alias("block_size"))
+    sizes = sizes.select(*[F.col(c).alias(f"__{c}") for c in BLOCK], "block_size")
+    return rows.join(sizes, _same_block("", "__")).drop(*[f"__{c}" for c in BLOCK])
+
+
+def _same_block(a: str, b: str) -> Column:
+    """Equal maker, size (which may be unknown) and pack."""
+    return (F.col(f"{a}manufacturer") == F.col(f"{b}manufacturer")) & F.col(f"{a}size").eqNullSafe(F.col(f"{b}size")) & F.col(f"{a}pack").eqNullSafe(F.col(f"{b}pack"))
 
 
 def block_pairs(features: DataFrame, config: MatchConfig = MatchConfig()) -> DataFrame:
     """(a, b) structs of every pair of a block within the cap, a before b by product id."""
     inside = blocks(features).where(F.col("block_size").between(2, config.max_block)).drop("block_size")
     a, b = inside.select(F.struct("*").alias("a")), inside.select(F.struct("*").alias("b"))
-    same = (F.col("a.manufacturer") == F.col("b.manufacturer")) & F.col("a.size").eqNullSafe(F.col("b.size")) & (F.col("a.pack") == F.col("b.pack"))
-    return a.join(b, same & (F.col("a.product_id") < F.col("b.product_id")))
+    return a.join(b, _same_block("a.", "b.") & (F.col("a.product_id") < F.col("b.product_id")))
 
 
 def scored_pairs(features: DataFrame, vectors: DataFrame | None = None, config: MatchConfig = MatchConfig()) -> DataFrame:
@@ -233,6 +240,25 @@ def coverage(features: DataFrame) -> DataFrame:
     return features.agg(F.count("*").alias("products"), some("manufacturer").alias("with_manufacturer"), some("size").alias("with_size"), F.count_if(F.col("pack") >= 2).alias("multi_packs"), some("canonical_key").alias("with_key"))
 
 
+def canonicalise(products: DataFrame, vectors: DataFrame | None = None, config: MatchConfig = CLI, brands=None, include_singletons: bool = False, batch: int = 200) -> dict[str, DataFrame]:
+    """Products (product_id, brand_slug, name, category) matched across chains, from names to what is pushed.
+
+    Returns ``features`` of all products, ``pairs`` that were compared, ``payload`` (groups with the number of their batch,
+    only those with a member sure enough), ``review`` (pairs for a person), and one-row counters ``statistics``,
+    ``joined``, ``summary`` and ``coverage``. Products without a name or a known maker are counted but not matched.
+    """
+    from ..functions import text
+    from ..sources import sinks
+
+    features = text.with_features(products, brands=brands or text.BRANDS)
+    pairs = scored_pairs(features, vectors, config)
+    payload = confident(payloads(groups(features, pairs, config), include_singletons))
+    return {
+        "features": features, "pairs": pairs, "payload": sinks.batches(payload, batch), "review": review_queue(pairs),
+        "statistics": pair_statistics(pairs), "joined": joining_pairs(pairs), "summary": group_summary(payload), "coverage": coverage(features),
+    }
+
+
 def key_clusters(products: DataFrame, key: str, chain: str, least: int = 2, rows: int = 40) -> DataFrame:
     """The match keys that most chains share."""
     by = products.groupBy(key).agg(F.count("*").alias("products"), F.count_distinct(chain).alias("chains"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..schema import MATCH_METHODS, PROMO_TYPES, TERMINAL_STATUSES
-from .core import numbered, promo_signal
+from .core import cut, numbered, promo_signal
 
 FEATURES = ("manufacturer_brand", "category_normalised", "size_value", "size_unit", "pack_count", "variant_descriptor")
 REFRESHED = ("name", "normalized_name", "url", "image_url", "category", "unit")
@@ -45,26 +45,40 @@ def split_offers(incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def resolve_products(products: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Incoming rows (brand_id, external_id, name, normalized_name, ..., seq) with the id of the product they are, and whether it is new.
+    """Incoming rows (brand_id, external_id, name, normalized_name, ..., seq) with the id of the product they are, and whether they made it.
 
-    A row is the product of its chain and external id; else, of the chain's products without an external id, that of
-    its normalised name. Rows that find none make one product a key; ids go on from the highest, by first appearance.
+    As if the rows came one after the other in order of ``seq``, which no two of them share: a row is the product of its
+    chain and external id, be it there before or made by an earlier row; else, of the chain's products without an
+    external id, that of its normalised name; else it makes one. An empty external id is none. Ids go on from the
+    highest, in order of the rows that make a product.
+
+    Nothing runs row by row. A name's product is there from the first row without an external id that bears it, and an
+    external id's from the first row that bears it while there is none of its name yet; both are minima over a key.
     """
-    by_ext = products.where("external_id is not null").groupBy("brand_id", "external_id").agg(F.min("id").alias("ext_id"))
-    by_name = products.where("external_id is null").groupBy("brand_id", "normalized_name").agg(F.min("id").alias("name_id"))
-    rows = incoming.join(by_ext, ["brand_id", "external_id"], "left").join(by_name, ["brand_id", "normalized_name"], "left")
-    rows = rows.withColumn("found", F.coalesce("ext_id", "name_id")).drop("ext_id", "name_id")
-    key = F.when(F.col("external_id").isNotNull(), F.struct(F.lit("e").alias("k"), F.col("external_id").alias("v"))).otherwise(F.struct(F.lit("n").alias("k"), F.col("normalized_name").alias("v")))
-    rows = rows.withColumn("key", key)
-    fresh = rows.where("found is null").groupBy("brand_id", "key").agg(F.min("seq").alias("first_seq"))
+    ext = F.nullif(F.col("external_id"), F.lit(""))
+    rows, old = incoming.withColumn("external_id", ext), products.withColumn("external_id", ext)
+    by_ext = old.where("external_id is not null").groupBy("brand_id", "external_id").agg(F.min("id").alias("ext_id"))
+    by_name = old.where("external_id is null").groupBy("brand_id", "normalized_name").agg(F.min("id").alias("name_id"))
+    named = rows.where("external_id is null").groupBy("brand_id", "normalized_name").agg(F.min("seq").alias("name_seq"))
+    rows = rows.join(by_ext, ["brand_id", "external_id"], "left")
+    rows = rows.join(by_name.join(named, ["brand_id", "normalized_name"], "full"), ["brand_id", "normalized_name"], "left")
+    has_name = F.col("name_id").isNotNull() | F.coalesce(F.col("name_seq") < F.col("seq"), F.lit(False))
+    made = rows.where("external_id is not null and ext_id is null").where(~has_name).groupBy("brand_id", "external_id").agg(F.min("seq").alias("ext_seq"))
+    rows = rows.join(made, ["brand_id", "external_id"], "left")
+    by_own = F.coalesce(F.col("ext_seq") <= F.col("seq"), F.lit(False))
+    rows = rows.withColumn("found", F.when(F.col("ext_id").isNotNull(), F.col("ext_id")).when(~by_own, F.col("name_id")))
+    rows = rows.withColumn("made_at", F.when(F.col("found").isNull(), F.when(by_own, F.col("ext_seq")).otherwise(F.col("name_seq"))))
+    rows = rows.withColumn("created", F.col("made_at").isNotNull() & (F.col("made_at") == F.col("seq"))).drop("ext_id", "name_id", "name_seq", "ext_seq")
     top = products.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))  # one row
-    fresh = numbered(fresh, "first_seq", "nth", ["brand_id"]).crossJoin(F.broadcast(top)).select("brand_id", "key", (F.col("top") + F.col("nth")).alias("new_id"))
-    rows = rows.join(fresh, ["brand_id", "key"], "left").drop("key")
-    return rows.withColumn("created", F.col("found").isNull()).withColumn("product_id", F.coalesce("found", "new_id")).drop("found", "new_id")
+    fresh = numbered(rows.where("created").select(F.col("seq").alias("made_at")), "made_at", "nth").crossJoin(F.broadcast(top)).select("made_at", (F.col("top") + F.col("nth")).alias("new_id"))
+    return rows.join(fresh, "made_at", "left").withColumn("product_id", F.coalesce("found", "new_id")).drop("found", "new_id", "made_at")
 
 
 def merge_products(products: DataFrame, resolved: DataFrame) -> DataFrame:
-    """The products after an ingest: the last row of each product refreshes names, links and features; an external id is never filled in later."""
+    """The products after an ingest: the last row of each product refreshes names, links and features.
+
+    The external id is that of the row that made the product; it is never filled in later.
+    """
     have = [c for c in (*REFRESHED, *FEATURES) if c in resolved.columns and c in products.columns]
     last = resolved.groupBy("product_id").agg(F.max_by(F.struct(*have), "seq").alias("n"), F.first("brand_id").alias("n_brand"), F.max(F.when(F.col("created"), F.col("external_id"))).alias("n_ext"))
     rows = products.join(last, products["id"] == last["product_id"], "full")
@@ -82,21 +96,61 @@ def new_offers(offers: DataFrame, resolved: DataFrame, run_id: int) -> DataFrame
     return rows.select(*[values.get(c, F.col(c) if c in resolved.columns else F.lit(None)).cast(offers.schema[c].dataType).alias(c) for c in offers.columns])
 
 
-def ingest_counts(resolved: DataFrame) -> DataFrame:
-    return resolved.agg(F.count("*").alias("offers_persisted"), F.count_distinct(F.when(F.col("created"), F.col("product_id"))).alias("products_created"), F.count_distinct(F.when(~F.col("created"), F.col("product_id"))).alias("products_updated"))
+def ingest_counts(resolved: DataFrame, products: DataFrame | None = None) -> DataFrame:
+    """Offers kept, rows that made a product, and rows that changed one.
 
-
-def backfill(products: DataFrame, brands=None) -> DataFrame:
-    """All products with their six family features worked out anew, by the catalogue profile; maker and category without accents."""
+    With ``products`` (before the ingest) a row counts as an update if it differs in a refreshed column from the row of
+    its product before it, or from the product as it was; without, every row of a product that it didn't make does.
+    """
+    changed = ~F.col("created")
+    if products is not None:
+        have = [c for c in (*REFRESHED, *FEATURES) if c in resolved.columns and c in products.columns]
+        was = products.select(F.col("id").alias("product_id"), F.struct(*have).alias("__was"))
+        before = F.lag(F.struct(*have)).over(Window.partitionBy("product_id").orderBy("seq"))
+        resolved = resolved.join(was, "product_id", "left").withColumn("__before", F.coalesce(before, F.col("__was")))
+        same = [F.col(c).cast(products.schema[c].dataType).eqNullSafe(F.col(f"__before.{c}").cast(products.schema[c].dataType)) for c in have]
+        changed = changed & ~F.forall(F.array(*same), lambda x: x) if same else F.lit(False)
+    return resolved.agg(F.count("*").alias("offers_persisted"), F.count_if("created").alias("products_created"), F.count_if(changed).alias("products_updated"))
+
+
+def ingest(products: DataFrame, offers: DataFrame, incoming: DataFrame, run: tuple[int, int, str], brands=None) -> dict[str, DataFrame]:
+    """One crawl run's items taken in whole: validated, resolved, merged, appended, counted.
+
+    ``run``: id, brand id and status of the run; only a running one takes offers. ``incoming`` has the columns of an
+    offer item and ``seq``. Returns the new ``products``, the ``offers`` to append, the ``rejected`` items with their
+    errors, and ``counts`` (one row). Items of no run, an empty table and repeated items need nothing special: a repeated
+    item is one more offer of the same product.
+    """
+    run_id, brand_id, status = run
+    if status != "running":
+        raise ValueError(f"run {run_id} has ended")
+    accepted, rejected = split_offers(incoming)
+    rows = accepted.withColumns({"brand_id": F.lit(brand_id).cast("long"), "normalized_name": text.normalize(F.col("name"))})
+    for c, value in catalogue_features(brands).items():
+        rows = rows.withColumn(c, value)
+    rows = rows.drop("__maker", "__size")
+    resolved = resolve_products(products, rows)
+    return {"products": merge_products(products, resolved), "offers": new_offers(offers, resolved, run_id), "rejected": rejected, "counts": ingest_counts(resolved, products)}
+
+
+def catalogue_features(brands=None) -> dict[str, Column]:
+    """The six family features of ``name`` and ``category`` by the catalogue profile, maker and category without accents, and two helpers; to be added one after the other."""
     names = brands or text.BRANDS
-    rows = products.withColumn("__maker", text.manufacturer(F.col("name"), names)).withColumn("__size", text.size(F.col("name"), "catalogue"))
     tokens = text.variant_tokens(F.col("name"), F.col("__maker"), names, "catalogue")
-    new = {
+    return {
+        "__maker": text.manufacturer(F.col("name"), names), "__size": text.size(F.col("name"), "catalogue"),
         "manufacturer_brand": F.col("__maker"), "category_normalised": F.nullif(text.normalize(F.col("category")), F.lit("")), "size_value": F.col("__size.value").cast("decimal(10,3)"),
         "size_unit": F.col("__size.unit"), "pack_count": text.pack_count(F.col("name"), "catalogue"), "variant_descriptor": text.variant_slug(tokens, "catalogue"),
     }
-    kept = [c for c in products.columns if c not in new]
-    return rows.select(*kept, *[v.alias(c) for c, v in new.items()])
+
+
+def backfill(products: DataFrame, brands=None) -> DataFrame:
+    """All products with their six family features worked out anew."""
+    new = catalogue_features(brands)
+    rows = products.drop(*FEATURES)
+    for c, value in new.items():
+        rows = rows.withColumn(c, value)
+    return rows.select(*[c for c in products.columns if c not in new], *[c for c in new if not c.startswith("__")])
 
 
 def without_leaks(offers: DataFrame) -> DataFrame:
@@ -138,32 +192,53 @@ def upsert_canonicals(canonicals: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def arbitrate(products: DataFrame, proposals: DataFrame) -> DataFrame:
-    """Proposals (product_id, canonical_id, confidence, method, seq) with ``outcome``.
+    """Proposals (product_id, canonical_id, confidence, method, seq) with ``outcome``: assigned, kept_higher, duplicate_brand_skipped or unknown_product.
+
+    As if they came one after the other in order of ``seq``: a product keeps its canonical only if the confidence it
+    has by then is higher than the proposal's (equal wins), and of a chain one product at a time is in a canonical. An
+    assignment that a later one replaces was still made; the last assigned proposal of a product holds.
 
-    An unknown product is an error. A product keeps its canonical only if its confidence is higher than the proposal's;
-    equal wins. Of a chain one product stays in a canonical: one that is in it and isn't moved away first, then the
-    first proposal.
+    What a proposal meets depends only on earlier ones. So all are taken to be assigned at first, and each round judges
+    every proposal by the outcomes of the round before, along two windows: its product's earlier proposals, and what
+    came into and left its canonical of its chain. Rounds end when none changes an outcome, and then all are right; they
+    are as many as proposals depend on each other in a chain, and no more than there are proposals.
     """
-    now = products.select(F.col("id").alias("product_id"), "brand_id", F.col("canonical_product_id").alias("old_id"), F.col("canonical_match_confidence").alias("old_confidence"))
-    rows = proposals.join(now, "product_id", "left")
-    keeps = F.col("old_id").isNotNull() & F.coalesce(F.col("old_confidence") > F.col("confidence"), F.lit(False))
-    rows = rows.withColumn("outcome", F.when(F.col("brand_id").isNull(), "unknown_product").when(keeps, "kept_higher"))
-    # Of one product's proposals the last that wins holds; the earlier ones are passed over.
-    last = Window.partitionBy("product_id", F.col("outcome").isNull()).orderBy(F.desc("seq"))
-    rows = rows.withColumn("outcome", F.when(F.col("outcome").isNull() & (F.row_number().over(last) > 1), "superseded").otherwise(F.col("outcome")))
-    moving = rows.where("outcome is null").select("product_id", F.col("canonical_id").alias("to_id"))
-    staying = now.where("old_id is not null").join(moving, "product_id", "left").where("to_id is null or to_id = old_id")
-    held = staying.groupBy(F.col("old_id").alias("canonical_id"), "brand_id").agg(F.min("product_id").alias("holder"))
-    rows = rows.join(held, ["canonical_id", "brand_id"], "left")
-    taken = F.col("holder").isNotNull() & (F.col("holder") != F.col("product_id"))
-    first = Window.partitionBy("canonical_id", "brand_id", F.col("outcome").isNull()).orderBy(F.when(F.col("holder") == F.col("product_id"), 0).otherwise(1), "seq")
-    double = F.row_number().over(first) > 1
-    return rows.withColumn("outcome", F.when(F.col("outcome").isNotNull(), F.col("outcome")).when(taken | double, "duplicate_brand_skipped").otherwise("assigned")).drop("holder")
+    now = products.select(F.col("id").alias("product_id"), "brand_id", F.col("canonical_product_id").alias("old_id"), F.col("canonical_match_confidence").cast("double").alias("old_confidence"))
+    known = proposals.join(now, "product_id", "left")
+    unknown = known.where("brand_id is null").withColumn("outcome", F.lit("unknown_product"))
+    rows = cut(known.where("brand_id is not null").withColumn("outcome", F.lit("assigned")))
+    held = now.where("old_id is not null").select(F.col("old_id").alias("slot"), "brand_id", F.lit(None).cast("long").alias("seq"), F.lit(0).alias("kind"), F.lit(1).alias("change"), F.lit(None).alias("row"))
+    by_product = Window.partitionBy("product_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    by_slot = Window.partitionBy("slot", "brand_id").orderBy(F.asc_nulls_first("seq"), "kind").rowsBetween(Window.unboundedPreceding, -1)
+    columns = known.columns
+    while True:
+        taken = F.col("outcome") == "assigned"
+        state = F.last(F.when(taken, F.struct(F.col("canonical_id").alias("id"), F.col("confidence").cast("double").alias("confidence"))), ignorenulls=True).over(by_product)
+        judged = rows.withColumn("__now", F.coalesce(state, F.struct(F.col("old_id").alias("id"), F.col("old_confidence").alias("confidence"))))
+        moves = taken & ~F.coalesce(F.col("__now.id") == F.col("canonical_id"), F.lit(False))
+        row = F.struct(*columns, "outcome", "__now")
+        # A move leaves one slot and comes into another; every proposal asks how many others are in its slot.
+        event = lambda slot, kind, change, row: F.struct(slot.alias("slot"), F.lit(kind).alias("kind"), change.cast("int").alias("change"), row.alias("row"))
+        leaves = F.when(moves & F.col("__now.id").isNotNull(), event(F.col("__now.id"), 1, F.lit(-1), F.lit(None).cast(judged.select(row.alias("r")).schema["r"].dataType)))
+        comes = event(F.col("canonical_id"), 1, F.when(moves, 1).otherwise(0), row)
+        events = judged.select("brand_id", "seq", F.explode(F.filter(F.array(leaves, comes), lambda e: e.isNotNull())).alias("e")).select("e.slot", "brand_id", "seq", "e.kind", "e.change", "e.row")
+        events = events.unionByName(held.withColumn("row", F.lit(None).cast(events.schema["row"].dataType)))
+        there = F.coalesce(F.sum("change").over(by_slot), F.lit(0))
+        found = events.withColumn("there", there).where("row is not null").select("row.*", "there")
+        others = F.col("there") - F.when(F.col("__now.id") == F.col("canonical_id"), 1).otherwise(0)
+        higher = F.col("__now.id").isNotNull() & F.coalesce(F.col("__now.confidence") > F.col("confidence").cast("double"), F.lit(False))
+        verdict = F.when(higher, "kept_higher").when(others > 0, "duplicate_brand_skipped").otherwise("assigned")
+        step = cut(found.select(*columns, F.col("outcome").alias("__old"), verdict.alias("outcome")))
+        done = not step.where("(outcome = 'assigned') <> (__old = 'assigned')").limit(1).count()
+        rows = step.drop("__old")
+        if done:
+            return rows.unionByName(unknown)
 
 
 def assign(products: DataFrame, arbitrated: DataFrame, at) -> DataFrame:
-    """Products with the assigned canonicals written in."""
-    won = arbitrated.where("outcome = 'assigned'").select(F.col("product_id").alias("id"), F.col("canonical_id").alias("to_id"), F.col("confidence").alias("to_conf"), F.col("method").alias("to_method"))
+    """Products with the last assigned canonical of each written in."""
+    last = arbitrated.where("outcome = 'assigned'").groupBy("product_id").agg(F.max_by(F.struct("canonical_id", "confidence", "method"), "seq").alias("w"))
+    won = last.select(F.col("product_id").alias("id"), F.col("w.canonical_id").alias("to_id"), F.col("w.confidence").alias("to_conf"), F.col("w.method").alias("to_method"))
     rows = products.join(won, "id", "left")
     moved = F.col("to_id").isNotNull()
     new = {"canonical_product_id": F.col("to_id"), "canonical_match_confidence": F.col("to_conf").cast("decimal(4,3)"), "canonical_match_method": F.col("to_method"), "canonical_matched_at": F.lit(at).cast("timestamp")}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import mean_price
@@ -80,10 +80,6 @@ def comparison(t: Retail, valid_on, canonical_id: int | None = None) -> DataFram
     now = core.latest(t.offers.select("id", "product_id", "price", "valid_from", "valid_to"), "product_id").where(core.valid_on(valid_on))
     rows = now.join(member, "product_id").join(t.brands.select(F.col("id").alias("brand_id"), F.col("slug").alias("brand")), "brand_id")
     price = F.col("price").cast("double")
-    by = rows.groupBy("canonical_product_id").agg(
-        F.round(F.max(price) - F.min(price), 2).alias("savings"),
-        F.array_sort(F.collect_list(F.struct(price.isNull().alias("none"), price.alias("price"), F.col("id").alias("offer_id"), "product_id", "brand"))).alias("offers"),
-    )
-    return by.select("canonical_product_id", "savings", F.posexplode("offers").alias("at", "o")).select(
-        "canonical_product_id", "savings", (F.col("at") + 1).alias("position"), F.col("o.offer_id").alias("offer_id"), F.col("o.product_id").alias("product_id"), F.col("o.brand").alias("brand"), F.col("o.price").alias("price")
-    )
+    spread = rows.groupBy("canonical_product_id").agg(F.round(F.max(price) - F.min(price), 2).alias("savings"))
+    place = F.row_number().over(Window.partitionBy("canonical_product_id").orderBy(price.asc_nulls_last(), "id"))
+    return rows.join(spread, "canonical_product_id").withColumn("position", place).select("canonical_product_id", "savings", "position", F.col("id").alias("offer_id"), "product_id", "brand", price.alias("price"))

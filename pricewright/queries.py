@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .functions import numbers, text
@@ -86,9 +86,9 @@ def offers_category_variants(spark, sf_dir):
     return _days(offers.matching_offers(star_views(spark, sf_dir), valid_on=DAY, category="promo").select(*FEED))
 
 
-@query(_feed_sql("and p.normalized_name like '%part%1%'"))
+@query(_feed_sql("and p.normalized_name like '%economy%ring%'"))
 def offers_text_search(spark, sf_dir):
-    return _days(offers.matching_offers(star_views(spark, sf_dir), valid_on=DAY, q="Part%1").select(*FEED))
+    return _days(offers.matching_offers(star_views(spark, sf_dir), valid_on=DAY, q="Economy%Ring").select(*FEED))
 
 
 @query("select id, product_id, price, cast(discount_pct as double) as discount_pct from v_offers where product_id = 7 order by scraped_at desc, id desc limit 200")
@@ -274,8 +274,9 @@ def promo_signal_reject(spark, sf_dir):
 
 INCOMING = """
 select p_partkey as seq, (p_partkey + case when p_partkey % 11 = 0 then 1 else 0 end) % 25 as brand_id,
-       case when p_partkey % 4 = 0 then null else cast(p_partkey as varchar(20)) end as external_id,
-       concat(p_brand,' ',p_type,' ',p_name) as name, lower(concat(p_brand,' ',p_type,' ',p_name)) as normalized_name
+       case when p_partkey % 4 = 0 then null when p_partkey % 8 = 1 then '' when p_partkey % 8 < 4 then concat('x', cast(p_partkey % 75 as varchar(20))) else cast(p_partkey as varchar(20)) end as external_id,
+       case when p_partkey % 3 = 0 then concat(p_brand,' ',p_type,' ',p_name) else substr(p_type, 1, 9) end as name,
+       lower(case when p_partkey % 3 = 0 then concat(p_brand,' ',p_type,' ',p_name) else substr(p_type, 1, 9) end) as normalized_name
 from part"""
 
 
@@ -283,12 +284,18 @@ from part"""
 , incoming as ({INCOMING}),
 ext as (select brand_id, external_id, min(id) as ext_id from v_products where external_id is not null group by 1, 2),
 nam as (select brand_id, normalized_name, min(id) as name_id from v_products where external_id is null group by 1, 2),
-found as (
-  select i.*, coalesce(ext_id, name_id) as old_id, case when i.external_id is not null then 'e' || i.external_id else 'n' || i.normalized_name end as key
-  from incoming i left join ext using (brand_id, external_id) left join nam using (brand_id, normalized_name)),
-fresh as (
-  select brand_id, key, (select max(id) from v_products) + row_number() over (order by min(seq), brand_id) as new_id from found where old_id is null group by brand_id, key)
-select seq, f.brand_id, old_id is null as created, coalesce(old_id, new_id) as product_id from found f left join fresh using (brand_id, key)""")
+item as (
+  select row_number() over (order by seq) as nn, i.seq, i.brand_id, ext_id, name_id, case when i.external_id <> '' then concat_ws('|', 'e', i.brand_id, i.external_id) end as ekey,
+         concat_ws('|', 'n', i.brand_id, i.normalized_name) as nkey
+  from incoming i left join ext using (brand_id, external_id) left join nam on nam.brand_id = i.brand_id and nam.normalized_name = i.normalized_name),
+fold as (
+  with recursive step(nn, top, made, seq, brand_id, created, product_id) as (
+    select 0::bigint, (select max(id) from v_products), map([]::varchar[], []::bigint[]), 0::bigint, 0::bigint, false, 0::bigint
+    union all
+    select nn, case when hit is null then top + 1 else top end, case when hit is null then map_concat(made, map([coalesce(ekey, nkey)], [top + 1])) else made end, seq, brand_id, hit is null, coalesce(hit, top + 1)
+    from (select i.*, s.top, s.made, coalesce(ext_id, made[ekey], name_id, made[nkey]) as hit from step s join item i on i.nn = s.nn + 1) x)
+  select * from step where nn > 0)
+select seq, brand_id, created, product_id from fold""")
 def product_resolve_merge(spark, sf_dir):
     t = star_views(spark, sf_dir)
     incoming = spark.sql(INCOMING.replace("from part", "from {part}"), part=spark.read.parquet(f"{sf_dir}/part.parquet"))
@@ -298,6 +305,8 @@ def product_resolve_merge(spark, sf_dir):
 PROPOSALS = """
 select p_partkey as product_id, p_partkey % 41 + 1 as canonical_id, cast((p_partkey % 7) / 10.0 + 0.35 as decimal(4,3)) as confidence, 'rule' as method, p_partkey as seq
 from part where p_partkey % 2 = 0 union all
+select p_partkey as product_id, p_partkey % 37 + 1 as canonical_id, cast((p_partkey % 5) / 10.0 + 0.4 as decimal(4,3)) as confidence, 'rule' as method, p_partkey + 500000 as seq from part where p_partkey % 6 < 2 union all
+select p_partkey as product_id, 200 + p_partkey % 89 as canonical_id, cast((p_partkey % 3) / 10.0 + 0.5 as decimal(4,3)) as confidence, 'rule' as method, p_partkey + 700000 as seq from part where p_partkey % 4 = 0 union all
 select p_partkey + 1000000 as product_id, 1 as canonical_id, cast(0.9 as decimal(4,3)) as confidence, 'rule' as method, p_partkey + 1000000 as seq from part where p_partkey % 97 = 0"""
 OLD_CONFIDENCE = "case when p_partkey % 3 = 0 then null else cast(0.6 as decimal(4,3)) end"
 
@@ -313,24 +322,29 @@ ARBITRATED = f"""
 , proposal as ({PROPOSALS}),
 conf as (select p_partkey as id, {OLD_CONFIDENCE} as old_confidence from part),
 now as (select p.id as product_id, brand_id, canonical_product_id as old_id, old_confidence from v_products p join conf using (id)),
-judged as (
-  select r.*, n.brand_id, n.old_id, case when n.brand_id is null then 'unknown_product' when old_id is not null and old_confidence > r.confidence then 'kept_higher' end as first_outcome
-  from proposal r left join now n using (product_id)),
-moving as (select product_id, canonical_id as to_id from judged where first_outcome is null),
-held as (
-  select n.old_id as canonical_id, n.brand_id, min(n.product_id) as holder from now n left join moving m using (product_id)
-  where old_id is not null and (to_id is null or to_id = old_id) group by 1, 2),
-ranked as (
-  select j.*, holder, row_number() over (partition by j.canonical_id, j.brand_id, first_outcome is null order by case when holder = product_id then 0 else 1 end, seq) as nth
-  from judged j left join held h on h.canonical_id = j.canonical_id and h.brand_id = j.brand_id),
+slots as (select old_id as canonical_id, brand_id, count(*) as n from now where old_id is not null group by 1, 2),
+item as (
+  select row_number() over (order by r.seq) as nn, r.seq, r.product_id, r.canonical_id, r.confidence::double as confidence, w.brand_id, w.old_id, w.old_confidence::double as old_confidence, coalesce(slots.n, 0) as n
+  from proposal r left join now w using (product_id) left join slots on slots.canonical_id = r.canonical_id and slots.brand_id = w.brand_id),
 done as (
-  select product_id, canonical_id, case when first_outcome is not null then first_outcome
-         when (holder is not null and holder <> product_id) or nth > 1 then 'duplicate_brand_skipped' else 'assigned' end as outcome from ranked)"""
-
-
-@query(ARBITRATED + " select product_id, canonical_id, outcome from done")
+  with recursive step(nn, moved, slot, seq, product_id, canonical_id, outcome) as (
+    select 0::bigint, map([]::bigint[], []::struct(id bigint, confidence double)[]), map([]::varchar[], []::bigint[]), 0::bigint, 0::bigint, 0::bigint, ''
+    union all
+    select nn, case when outcome = 'assigned' then map_concat(moved, map([product_id], [{{'id': canonical_id, 'confidence': confidence}}])) else moved end,
+           case when outcome = 'assigned' and has is distinct from canonical_id then map_concat(slot, map([here] || case when has is null then [] else [gone] end, [coalesce(slot[here], 0) + 1] || case when has is null then [] else [coalesce(slot[gone], 0) - 1] end)) else slot end,
+           seq, product_id, canonical_id, outcome
+    from (select *, case when brand_id is null then 'unknown_product' when has is not null and sure > confidence then 'kept_higher'
+                         when n + coalesce(slot[here], 0) - case when has = canonical_id then 1 else 0 end > 0 then 'duplicate_brand_skipped' else 'assigned' end as outcome
+          from (select i.*, s.moved, s.slot, concat_ws('|', i.canonical_id, i.brand_id) as here, concat_ws('|', case when s.moved[i.product_id] is null then old_id else s.moved[i.product_id].id end, i.brand_id) as gone,
+                       case when s.moved[i.product_id] is null then old_id else s.moved[i.product_id].id end as has,
+                       case when s.moved[i.product_id] is null then old_confidence else s.moved[i.product_id].confidence end as sure
+                from step s join item i on i.nn = s.nn + 1) x) y)
+  select seq, product_id, canonical_id, outcome from step where nn > 0)"""
+
+
+@query(ARBITRATED + " select seq, product_id, canonical_id, outcome from done")
 def arbitrated_assignments(spark, sf_dir):
-    return _arbitrated(spark, sf_dir).select("product_id", "canonical_id", "outcome")
+    return _arbitrated(spark, sf_dir).select("seq", "product_id", "canonical_id", "outcome")
 
 
 @query(ARBITRATED + " select outcome, count(*) as n from done group by 1")
@@ -338,18 +352,21 @@ def one_per_chain_guard(spark, sf_dir):
     return _arbitrated(spark, sf_dir).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
-PAIRS_SQL = """
-v as (select vec_id, label, embedding::double[64] as e, vec_id % 5 as part from embeddings),
+SIGNS = 6
+PAIRS_SQL = f"""
+v as (select vec_id, embedding::double[] as e, label || ' ' || {" || ".join(f"case when embedding[{i + 1}] > 0 then '+' else '-' end" for i in range(SIGNS))} as block from embeddings),
+inside as (select *, count(*) over (partition by block) as n from v),
 pairs as (
-  select a.vec_id as a, b.vec_id as b, round(list_dot_product(a.e, b.e), 3) + 0.0 as cosine from v a join v b on a.label = b.label and a.part = b.part and a.vec_id < b.vec_id),
+  select a.vec_id as a, b.vec_id as b, round(list_dot_product(a.e, b.e), 3) + 0.0 as cosine from inside a join inside b on a.block = b.block and a.n <= 8 and a.vec_id < b.vec_id),
 routed as (select *, case when cosine >= 0.2 then 'embedding_merged' when cosine >= 0.1 then 'review' else 'embedding_dropped' end as route from pairs)"""
 
 
 def _vector_pairs(spark, sf_dir) -> DataFrame:
-    """The block of a vector is its label and id; low thresholds, for the vectors of these tables lie far apart."""
-    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label", "embedding", (F.col("vec_id") % 5).alias("part"))
-    a, b = (v.select("label", "part", F.col("vec_id").alias(s), F.col("embedding").alias(f"e{s}")) for s in "ab")
-    pairs = a.join(b, ["label", "part"]).where("a < b").select("a", "b", F.round(numbers.cosine(F.col("ea"), F.col("eb")), 3).alias("cosine"))
+    """The block of a vector is its label and the signs of its first parts, and blocks over the cap aren't compared; low thresholds, for the vectors of these tables lie far apart."""
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    signs = [F.when(F.col("embedding")[i] > 0, "+").otherwise("-") for i in range(SIGNS)]
+    rows = v.select(F.col("vec_id").alias("product_id"), F.concat(F.col("label").cast("string"), F.lit(" "), *signs).alias("manufacturer"), F.lit(1).alias("size"), F.lit(1).alias("pack"), "embedding")
+    pairs = resolve.block_pairs(rows).select(F.col("a.product_id").alias("a"), F.col("b.product_id").alias("b"), F.round(numbers.cosine(F.col("a.embedding"), F.col("b.embedding")), 3).alias("cosine"))
     config = resolve.MatchConfig(auto_merge_cosine=0.2, review_cosine=0.1)
     open_ = F.struct(F.lit(False).alias("same"), F.lit(0.6).alias("confidence"))
     return pairs.withColumn("route", resolve.route(open_, F.col("cosine"), config))
@@ -379,25 +396,23 @@ def match_components(spark, sf_dir):
     return resolve.components(v, edges.join(v.select(F.col("id").alias("b")), "b", "left_semi"))
 
 
-TOKENS_SQL = "list_sort(list_distinct(list_filter(string_split_regex(lower(left(text, 400)), '[^a-z]+'), lambda w: length(w) >= 5)))"
-
-
-@query(f"""
-with t as (select doc_id, source, {TOKENS_SQL} as tokens from documents),
-pairs as (
-  select a.doc_id as a, b.doc_id as b, a.tokens as ta, b.tokens as tb from t a join t b on a.source = b.source and a.doc_id < b.doc_id and a.doc_id // 200 = b.doc_id // 200),
+@query(r"""
+with t as (select doc_id, source || ' ' || lang || ' ' || length(text) // 10 as block, list_sort(list_distinct(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda w: length(w) >= 5))) as tokens from documents),
+inside as (select *, count(*) over (partition by block) as n from t where block is not null),
+pairs as (select a.doc_id as a, b.doc_id as b, a.tokens as ta, b.tokens as tb from inside a join inside b on a.block = b.block and a.n <= 8 and a.doc_id < b.doc_id),
 j as (select a, b, len(ta) as na, len(tb) as nb, len(list_intersect(ta, tb)) as both_n from pairs),
 s as (select *, case when na + nb - both_n > 0 then both_n / (na + nb - both_n) else 0 end as jac from j)
 select a, b, case when na = 0 and nb = 0 then true when na > 0 and nb > 0 and both_n = 0 then false else jac >= 0.5 end as same,
   round(case when na = 0 and nb = 0 then 1 when na > 0 and nb > 0 and both_n = 0 then 1 when jac >= 0.5 then 0.9 + 0.1 * jac when jac >= 0.25 then 0.6 else 0.95 end, 6) as confidence
 from s""")
 def jaccard_rule_decisions(spark, sf_dir):
+    """Documents of one source, language and about one length are a block, as products of one maker, size and pack are; whole texts."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    words = F.array_sort(F.array_distinct(F.filter(F.split(F.lower(F.substring("text", 1, 400)), "[^a-z]+"), lambda w: F.length(w) >= 5)))
-    rows = d.select("source", F.floor(F.col("doc_id") / 200).alias("part"), F.col("doc_id").alias("id"), words.alias("variant_tokens"), F.lit("m").alias("manufacturer"), F.lit(1).alias("size"), F.lit(1).alias("pack"))
-    a, b = rows.select("source", "part", F.struct("id", "variant_tokens", "manufacturer", "size", "pack").alias("a")), rows.select("source", "part", F.struct("id", "variant_tokens", "manufacturer", "size", "pack").alias("b"))
-    pairs = a.join(b, ["source", "part"]).where("a.id < b.id").withColumn("d", resolve.decision())
-    return pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("d.same").alias("same"), F.round("d.confidence", 6).alias("confidence"))
+    words = F.array_sort(F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) >= 5)))
+    block = F.concat("source", F.lit(" "), "lang", F.lit(" "), F.floor(F.length("text") / 10).cast("string"))
+    rows = d.select(F.col("doc_id").alias("product_id"), words.alias("variant_tokens"), block.alias("manufacturer"), F.lit(1).alias("size"), F.lit(1).alias("pack"))
+    pairs = resolve.block_pairs(rows).withColumn("d", resolve.decision())
+    return pairs.select(F.col("a.product_id").alias("a"), F.col("b.product_id").alias("b"), F.col("d.same").alias("same"), F.round("d.confidence", 6).alias("confidence"))
 
 
 @query("select doc_id, md5(replace(trim(regexp_replace(strip_accents(lower(text)), '[\\s]+', ' ', 'g')), 'ς', 'σ')) as normalized from documents")
@@ -529,3 +544,73 @@ select key, count(*) as products, count(distinct brand_id) as chains from k grou
 def match_key_clusters(spark, sf_dir):
     p = star_views(spark, sf_dir).products.select(F.concat(F.lower("category"), F.lit(" "), F.col("size_value").cast("string")).alias("key"), F.col("brand_id"))
     return resolve.key_clusters(p, "key", "brand_id")
+
+
+#: One row a part: its price ``c`` and the price ``o`` before, in cents, and the place on its page.
+SHELF = "select cast(p_partkey as varchar(20)) as k, p_name as name, 1000 + p_partkey * 7 % 900 as c, 1000 + p_partkey * 7 % 900 + p_size % 4 * 100 as o, p_size as n, floor(p_partkey / 20) as page, cast(p_partkey % 20 as int) as position from part"
+#: What each chain's offers are, as SQL over SHELF: (price in cents, original in cents, percent, label, type, condition).
+_PCT = "case when o > c then cast(round_even((o - c) * 100.0 / o, 0) as int) end"
+SOURCES = {
+    "ab": ("case when n % 3 = 0 then c else o end", "case when n % 3 = 0 and o > c then o end", f"case when n % 3 = 0 then {_PCT} end", "case when n % 3 = 1 then '1+1 δώρο' end", "case when n % 3 = 0 then 'strikethrough' else 'bxgy_free' end", "n % 3 < 2"),
+    "lidl": ("c", "case when o > c then o end", "case when n % 3 = 0 then n end", "case when n % 3 = 0 then '−' || n || '%' end", "case when n % 3 = 0 then 'strikethrough' end", "n % 3 = 0 or o > c"),
+    "masoutis": ("c", "case when o > c then o end", "case when n % 3 = 0 then n end", "case when n % 3 = 0 then '-' || n || '%' end", "case when n % 3 = 0 then 'strikethrough' end", "n % 3 = 0 or o > c"),
+    "my-market": ("c", "case when o > c then o end", _PCT, "cast(null as varchar)", "case when o > c then 'strikethrough' end", "o > c"),
+    "sklavenitis": ("c", "case when o > c then o end", "n", "'-' || n || '%'", "'strikethrough'", "n % 5 > 0"),
+}
+
+
+def _source_sql(chain: str) -> str:
+    price, original, pct, label, kind, keep = SOURCES[chain]
+    return f"""
+with shelf as ({SHELF}) select k as external_id, name, cast({price} as double) / 100 as price, cast({original} as double) / 100 as original_price, cast({pct} as double) as discount_pct, {label} as promo_label,
+  {kind} as promo_type, day, position from shelf cross join (values ('2026-05-01'), ('2026-05-02')) d(day) where {keep}"""
+
+
+def _crawled(spark, sf_dir: str, chain: str) -> DataFrame:
+    """Responses of the chain's site that list all parts, twenty a page; two crawls of the same pages, one row of them repeated."""
+    from .sources import chains
+
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    rows = spark.sql(SHELF.replace("from part", "from {part}"), part=part)
+    euros = lambda c, point=".": F.concat((F.col(c) / 100).cast("long").cast("string"), F.lit(point), F.lpad((F.col(c) % 100).cast("string"), 2, "0"))
+    say = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    k, name, n, third = F.col("k"), F.col("name"), F.col("n").cast("string"), F.col("n") % 3
+    quoted = lambda c: F.replace(c, F.lit('"'), F.lit("&quot;"))
+    head, between, tail = "<html><body>", "\n", "</body></html>"
+    if chain == "ab":
+        head, between, tail = '{"data":{"productList":{"products":[', ",", "]}}}"
+        promo = F.when(third == 1, '{"promotionType":"Grocery Buy X get Y free","title":"1 + 1 free"}').otherwise("")
+        struck = F.when(third == 0, "true").otherwise("false")
+        card = say('{"code":"', k, '","name":"', name, '","price":{"value":', euros("o"), ',"showStrikethroughPrice":', struck, ',"discountedPriceFormatted":"', euros("c", ","), ' €"},"potentialPromotions":[', promo, "]}")
+    elif chain == "lidl":
+        pct = F.when(third == 0, say('"', n, '"')).otherwise("null")
+        card = say('<div data-grid-data="', quoted(say('{"productId":"', k, '","title":"', name, '","regionsPrices":{"1":{"currentPrice":{"price":', euros("c"), ',"oldPrice":', euros("o"), ',"discount":{"percentageDiscount":', pct, "}}}}}")), '"></div>')
+    elif chain == "masoutis":
+        head, between, tail = "[", ",", "]"
+        card = say('{"Itemcode":"', k, '","ItemDescr":"', name, '","PosPrice":"', euros("c"), '","StartPrice":"', euros("o"), '","Discount":"', F.when(third == 0, say("-", n, "%")).otherwise(""), '"}')
+    elif chain == "my-market":
+        old = F.when(F.col("o") > F.col("c"), say('<span class="diagonal-line">', euros("o", ","), "€</span>")).otherwise("")
+        card = say('<article class="product" data-id="', k, '"><a href="/p/', k, '">', name, "</a>", old, '<span class="price-whole">', (F.col("c") / 100).cast("long").cast("string"), '</span><span class="price-fraction">', (F.col("c") % 100).cast("string"), "</span></article>")
+    else:
+        badge = F.when(F.col("n") % 5 > 0, say('<span class="badge">-', n, "%</span>")).otherwise("")
+        card = say("<div data-plugin-product='", '{"sku":"', k, '","name":"', name, '","price":', euros("c"), "}'>", badge, '<span class="deleted">', euros("o", ","), " €</span></div>")
+    pages = rows.select("page", "position", card.alias("card")).groupBy("page").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "card"))), lambda x: x["card"]).alias("cards"))
+    days = F.explode(F.array(*[F.lit(d).cast("timestamp") for d in ("2026-05-01", "2026-05-02")]))
+    bodies = pages.select(F.concat(F.lit(head), F.array_join("cards", between), F.lit(tail)).alias("body"), days.alias("scraped_at"))
+    if chain not in ("ab", "masoutis"):  # sources that keep one item of an id and page
+        bodies = bodies.union(bodies.where(F.col("scraped_at") == F.lit("2026-05-02").cast("timestamp")))
+    got = chains.PARSERS[chain](bodies)
+    numbers_ = [F.col(c).cast("double").alias(c) for c in ("price", "original_price", "discount_pct")]
+    return got.select("external_id", "name", *numbers_, "promo_label", "promo_type", F.date_format("scraped_at", "yyyy-MM-dd").alias("day"), F.col("position").cast("int").alias("position"))
+
+
+def _source(chain: str) -> None:
+    def run(spark, sf_dir):
+        return _crawled(spark, sf_dir, chain)
+
+    run.__name__ = f"source_{chain.replace('-', '')}"
+    query(_source_sql(chain))(run)
+
+
+for _chain in SOURCES:
+    _source(_chain)

@@ -42,7 +42,7 @@ def _items(rows: DataFrame, extra=()) -> DataFrame:
 
 
 def _first_of_page(rows: DataFrame) -> DataFrame:
-    """One item of each id or name of a page, the first."""
+    """One item of each id or name of a page of one crawl, the first."""
     key = F.coalesce("external_id", "name")
     by = Window.partitionBy("body_id", key).orderBy("position")
     return rows.withColumn("__n", F.row_number().over(by)).where("__n = 1").drop("__n")
@@ -55,7 +55,8 @@ def _unescape(c: Column) -> Column:
 
 
 def _numbered(bodies: DataFrame) -> DataFrame:
-    return bodies.withColumn("body_id", F.xxhash64("body"))
+    """A page as it was at one time: the same page of another crawl is a snapshot of its own, a repeated row is not."""
+    return bodies.withColumn("body_id", F.xxhash64("body", "scraped_at"))
 
 
 LIDL_PRICE = "struct<price:string,oldPrice:string,discount:struct<percentageDiscount:string,deletedPrice:string,discountText:string>,packaging:struct<text:string>,startDate:string,endDate:string,currencyCode:string>"
@@ -201,10 +202,15 @@ class _Cards(HTMLParser):
 
 
 def _walk(node):
-    for kid in node["kids"]:
-        if isinstance(kid, dict):
+    """All elements below, in page order, however deep."""
+    stack = [iter(node["kids"])]
+    while stack:
+        kid = next(stack[-1], None)
+        if kid is None:
+            stack.pop()
+        elif isinstance(kid, dict):
             yield kid
-            yield from _walk(kid)
+            stack.append(iter(kid["kids"]))
 
 
 def _text(node) -> str:
@@ -240,50 +246,55 @@ def _json(text: str | None):
         return {}
 
 
+#: Class names and attributes of the two chains' cards.
+MYMARKET = {"card": "product", "data": "data-google-analytics-item-value", "unit": "measure-label", "whole": "price-whole", "fraction": "price-fraction", "price": "selling-unit-price", "old": "diagonal-line", "percent": "discount-pill", "label": "product-note-tag"}
+SKLAVENITIS = {"card": "product", "data": ("data-plugin-product", "data-item"), "badge": ("icon-offer", "offer-span", "badge"), "name": "product__title", "unit": "priceKil", "price": "price", "old": "deleted"}
 CARD = "body_id long, position int, external_id string, name string, href string, image_url string, category string, unit string, whole string, fraction string, price_text string, old_text string, pct_text string, label string, struck boolean, gift boolean"
 COLUMNS = [c.split()[0] for c in CARD.split(", ")]
 
 
 def _mymarket_cards(html: str):
-    for n, card in enumerate(_cards(html, lambda x: x["tag"] == "article" and _has(x, "product"))):
+    k = MYMARKET
+    for n, card in enumerate(_cards(html, lambda x: x["tag"] == "article" and _has(x, k["card"]))):
         inside = list(_walk(card))
-        find = lambda cls: next((x for x in inside if _has(x, cls)), None)
-        of = lambda cls: _text(x) if (x := find(cls)) else None
-        data = _json(card["attrs"].get("data-google-analytics-item-value") or next((x["attrs"]["data-google-analytics-item-value"] for x in inside if "data-google-analytics-item-value" in x["attrs"]), None))
+        find = lambda part: next((x for x in inside if _has(x, k[part])), None)
+        of = lambda part: _text(x) if (x := find(part)) else None
+        data = _json(card["attrs"].get(k["data"]) or next((x["attrs"][k["data"]] for x in inside if k["data"] in x["attrs"]), None))
         link = next((x for x in inside if x["tag"] == "a" and x["attrs"].get("href")), None)
         image = next((x["attrs"].get("src") for x in inside if x["tag"] == "img"), None)
         item = (((data.get("Call") or {}).get("ecommerce") or {}).get("items") or [{}])[0] if "Call" in data else data
         yield {
             "position": n, "external_id": str(item.get("id") or item.get("item_id") or card["attrs"].get("data-id") or "") or None, "name": item.get("name") or item.get("item_name") or (_text(link) if link else None),
-            "href": link["attrs"]["href"] if link else None, "image_url": image, "category": item.get("category") or item.get("item_category"), "unit": of("measure-label"),
-            "whole": of("price-whole"), "fraction": of("price-fraction"), "price_text": of("selling-unit-price"), "old_text": of("diagonal-line"), "pct_text": of("discount-pill"), "label": of("product-note-tag"), "struck": find("diagonal-line") is not None, "gift": False,
+            "href": link["attrs"]["href"] if link else None, "image_url": image, "category": item.get("category") or item.get("item_category"), "unit": of("unit"),
+            "whole": of("whole"), "fraction": of("fraction"), "price_text": of("price"), "old_text": of("old"), "pct_text": of("percent"), "label": of("label"), "struck": find("old") is not None, "gift": False,
         }
 
 
 def _sklavenitis_cards(html: str):
-    for n, card in enumerate(_cards(html, lambda x: "data-plugin-product" in x["attrs"] or _has(x, "product") and "data-item" in x["attrs"])):
+    k = SKLAVENITIS
+    first, second = k["data"]
+    for n, card in enumerate(_cards(html, lambda x: first in x["attrs"] or _has(x, k["card"]) and second in x["attrs"])):
         inside = list(_walk(card))
         of = lambda cls: next((_text(x) for x in inside if _has(x, cls)), None)
-        data = _json(card["attrs"].get("data-plugin-product") or card["attrs"].get("data-item"))
+        data = _json(card["attrs"].get(first) or card["attrs"].get(second))
         link = next((x for x in inside if x["tag"] == "a" and x["attrs"].get("href")), None)
         image = next((x["attrs"].get("src") or x["attrs"].get("data-src") for x in inside if x["tag"] == "img"), None)
-        badge = of("icon-offer") or of("offer-span") or of("badge")
+        badge = next((text for cls in k["badge"] if (text := of(cls))), None)
         yield {
-            "position": n, "external_id": str(data.get("sku") or data.get("ProductSKU") or "") or None, "name": data.get("name") or of("product__title") or (_text(link) if link else None), "href": link["attrs"]["href"] if link else None,
-            "image_url": image, "category": data.get("category"), "unit": of("priceKil"), "whole": None, "fraction": None, "price_text": str(data["price"]) if data.get("price") is not None else of("price"),
-            "old_text": of("deleted"), "pct_text": badge, "label": badge, "struck": False, "gift": badge is not None,
+            "position": n, "external_id": str(data.get("sku") or data.get("ProductSKU") or "") or None, "name": data.get("name") or of(k["name"]) or (_text(link) if link else None), "href": link["attrs"]["href"] if link else None,
+            "image_url": image, "category": data.get("category"), "unit": of(k["unit"]), "whole": None, "fraction": None, "price_text": str(data["price"]) if data.get("price") is not None else of(k["price"]),
+            "old_text": of(k["old"]), "pct_text": badge, "label": badge, "struck": False, "gift": badge is not None,
         }
 
 
 def _read_cards(bodies: DataFrame, cards) -> DataFrame:
     def run(batches):
         for pdf in batches:
-            rows = [{"body_id": i, **c} for i, html in zip(pdf["body_id"], pdf["body"], strict=True) for c in cards(html)]
-            yield pd.DataFrame(rows, columns=COLUMNS)
+            rows = [{"body_id": i, "scraped_at": at, **c} for i, at, html in zip(pdf["body_id"], pdf["scraped_at"], pdf["body"], strict=True) for c in cards(html)]
+            yield pd.DataFrame(rows, columns=["body_id", "scraped_at", *COLUMNS[1:]])
 
-    numbered = _numbered(bodies)
-    got = numbered.select("body_id", "body").mapInPandas(run, CARD)
-    return got.join(numbered.groupBy("body_id").agg(F.max("scraped_at").alias("scraped_at")), "body_id")
+    at = bodies.schema["scraped_at"].dataType.simpleString()
+    return _numbered(bodies).select("body_id", "scraped_at", "body").mapInPandas(run, CARD.replace("body_id long,", f"body_id long, scraped_at {at},"))
 
 
 def _card_items(rows: DataFrame, base: str, keep: Column) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Groupings that go out in one batch.
 BATCH = 200
+#: First letters of a key that are ranked together.
+LETTERS = 12
 #: The chains, and whether they are active.
 SEED = (("AB", "ab", True), ("Lidl", "lidl", True), ("Masoutis", "masoutis", True), ("My Market", "my-market", True), ("Sklavenitis", "sklavenitis", False))
 
@@ -40,9 +42,18 @@ def write_review_queue(queue: DataFrame, path: str) -> None:
 
 
 def batches(payload: DataFrame, size: int = BATCH) -> DataFrame:
-    """Groupings with the number of their batch, in order of their keys."""
-    nth = F.row_number().over(Window.orderBy("canonical_key")) - 1
-    return payload.withColumn("batch", F.floor(nth / size))
+    """Groupings with the number of their batch, in order of their keys.
+
+    Keys are ranked among those of equal first letters; the numbers of those, one row each, are summed up. So no task
+    takes all groupings.
+    """
+    letters = F.substring("canonical_key", 1, LETTERS)
+    rows = payload.withColumn("__letters", letters)
+    sizes = rows.groupBy("__letters").agg(F.count("*").alias("__n"))
+    before = sizes.select(F.col("__letters").alias("__l"), (F.sum("__n").over(Window.orderBy("__letters")) - F.col("__n")).alias("__before"))
+    rank = F.row_number().over(Window.partitionBy("__letters").orderBy("canonical_key")) - 1
+    rows = rows.withColumn("__rank", rank).join(before, F.col("__letters").eqNullSafe(F.col("__l")))
+    return rows.withColumn("batch", F.floor((F.col("__before") + F.col("__rank")) / size)).drop("__letters", "__l", "__before", "__rank")
 
 
 def dry_run(payload: DataFrame, size: int = BATCH, most: int = 20_000) -> str:

@@ -1,4 +1,4 @@
-"""Offers as a stream: each micro-batch is validated, resolved and appended; rejects go to their own table."""
+"""Offers as a stream: each micro-batch is validated, and accepted items and rejects go to tables of their own; ``writes.ingest`` resolves them to products."""
 
 from __future__ import annotations
 

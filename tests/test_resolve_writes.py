@@ -90,26 +90,104 @@ def test_resolve_and_merge(spark):
     rows = [item(1, "e1", "New"), item(2, "e9", "Plain"), item(3, "e8", "Named"), item(4, None, "Plain"), item(5, "e8", "Named 2"), item(6, "e1", "Newer"), item(7, "e1", "Else", brand=2)]
     got = writes.resolve_products(products, spark.createDataFrame(rows, ITEM))
     by = {r["seq"]: (r["product_id"], r["created"]) for r in got.collect()}
-    assert by == {1: (1, False), 2: (2, False), 3: (4, True), 4: (2, False), 5: (4, True), 6: (1, False), 7: (5, True)}
+    assert by == {1: (1, False), 2: (2, False), 3: (4, True), 4: (2, False), 5: (4, False), 6: (1, False), 7: (5, True)}
     merged = {r["id"]: r for r in writes.merge_products(products, got).collect()}
     assert merged[1]["name"] == "Newer" and merged[2]["external_id"] is None and merged[4]["external_id"] == "e8" and merged[4]["name"] == "Named 2" and len(merged) == 5
-    counts = writes.ingest_counts(got).collect()[0]
-    assert (counts["offers_persisted"], counts["products_created"], counts["products_updated"]) == (7, 2, 2)
+    counts = writes.ingest_counts(got, products).collect()[0]
+    assert (counts["offers_persisted"], counts["products_created"], counts["products_updated"]) == (7, 2, 3)
     offers = spark.createDataFrame([(50, 1, None, Decimal("1.00"), "EUR")], "id long, product_id long, crawl_run_id long, price decimal(10,2), currency string")
     assert sorted((r["id"], r["crawl_run_id"]) for r in writes.new_offers(offers, got, 3).collect()) == [(51 + i, 3) for i in range(7)]
 
 
+def one_by_one(products, rows):
+    """The resolver as it reads: row after row."""
+    have = [dict(zip(("id", "brand", "ext", "name"), p, strict=True)) for p in products]
+    out = {}
+    for seq, brand, ext, name in sorted(rows):
+        mine = [p for p in have if p["brand"] == brand]
+        hit = next((p for p in mine if ext and p["ext"] == ext), None) or next((p for p in mine if not p["ext"] and p["name"] == name), None)
+        if not hit:
+            hit = {"id": max((p["id"] for p in have), default=0) + 1, "brand": brand, "ext": ext, "name": name}
+            have.append(hit)
+            out[seq] = (hit["id"], True)
+        else:
+            out[seq] = (hit["id"], False)
+    return out
+
+
+def test_resolve_in_order(spark):
+    import random
+
+    r = random.Random(5)
+    for _ in range(6):
+        products = [(i + 1, r.randint(1, 2), r.choice([None, None, f"e{i}"]), f"n{i}") for i in range(4)]
+        rows = [(seq, r.randint(1, 2), r.choice([None, "", "e0", "e1", "x", "y", "z"]), f"n{r.randint(0, 7)}") for seq in r.sample(range(100), 40)]
+        left = spark.createDataFrame(products, "id long, brand_id long, external_id string, normalized_name string")
+        right = spark.createDataFrame([(s, b, e, n) for s, b, e, n in rows], "seq long, brand_id long, external_id string, normalized_name string")
+        got = {x["seq"]: (x["product_id"], x["created"]) for x in writes.resolve_products(left, right).collect()}
+        assert got == one_by_one(products, rows)
+    none = spark.createDataFrame([], right.schema)
+    assert writes.resolve_products(left, none).count() == 0
+
+
 def test_arbitration(spark):
     products = spark.createDataFrame(
-        [(1, 1, 10, Decimal("0.900"), "rule", None), (2, 1, None, None, None, None), (3, 2, 10, Decimal("0.500"), "rule", None), (4, 2, None, None, None, None), (5, 1, 20, Decimal("0.700"), "rule", None)],
+        [(1, 1, 10, Decimal("0.900"), "rule", None), (2, 1, None, None, None, None), (3, 2, 10, Decimal("0.500"), "rule", None), (4, 2, None, None, None, None), (5, 1, 20, Decimal("0.700"), "rule", None), (6, 3, None, None, None, None)],
         "id long, brand_id long, canonical_product_id long, canonical_match_confidence decimal(4,3), canonical_match_method string, canonical_matched_at timestamp",
     )
-    p = [(1, 11, "0.800"), (2, 10, "0.900"), (3, 11, "0.500"), (4, 11, "0.600"), (99, 10, "0.900"), (5, 20, "0.700")]
+    p = [(1, 11, "0.800"), (2, 10, "0.900"), (3, 11, "0.500"), (4, 11, "0.600"), (99, 10, "0.900"), (5, 20, "0.700"), (6, 30, "0.900"), (6, 31, "0.500"), (6, 32, "0.900")]
     proposals = spark.createDataFrame([(a, b, Decimal(c), "rule", i) for i, (a, b, c) in enumerate(p)], "product_id long, canonical_id long, confidence decimal(4,3), method string, seq long")
     got = writes.arbitrate(products, proposals)
-    assert {r["product_id"]: r["outcome"] for r in got.collect()} == {1: "kept_higher", 2: "duplicate_brand_skipped", 3: "assigned", 4: "duplicate_brand_skipped", 99: "unknown_product", 5: "assigned"}
+    want = ["kept_higher", "duplicate_brand_skipped", "assigned", "duplicate_brand_skipped", "unknown_product", "assigned", "assigned", "kept_higher", "assigned"]
+    assert [r["outcome"] for r in got.orderBy("seq").collect()] == want
     after = {r["id"]: r["canonical_product_id"] for r in writes.assign(products, got, "2026-05-01").collect()}
-    assert after == {1: 10, 2: None, 3: 11, 4: None, 5: 20}
+    assert after == {1: 10, 2: None, 3: 11, 4: None, 5: 20, 6: 32}
+    assert writes.arbitrate(products, proposals.limit(0)).count() == 0
+
+
+def test_arbitration_in_order(spark):
+    import random
+
+    r = random.Random(2)
+    for _ in range(3):
+        free = [(c, b) for c in range(4) for b in range(3)]
+        r.shuffle(free)
+        products = []
+        for i in range(10):
+            c, b = free.pop() if r.random() < 0.5 else (None, r.randint(0, 2))
+            products.append((i, b, c, None if c is None or r.random() < 0.2 else r.randint(1, 9) / 10))
+        proposals = [(r.randint(0, 11), r.randint(0, 3), r.randint(1, 9) / 10, "rule", seq) for seq in range(60)]
+        state, want = {i: [b, c, x] for i, b, c, x in products}, {}
+        for i, c, x, _, seq in proposals:
+            if i not in state:
+                want[seq] = "unknown_product"
+            elif state[i][1] is not None and state[i][2] is not None and state[i][2] > x:
+                want[seq] = "kept_higher"
+            elif any(k != i and v[0] == state[i][0] and v[1] == c for k, v in state.items()):
+                want[seq] = "duplicate_brand_skipped"
+            else:
+                want[seq] = "assigned"
+                state[i][1:] = [c, x]
+        left = spark.createDataFrame(products, "id long, brand_id long, canonical_product_id long, canonical_match_confidence double")
+        right = spark.createDataFrame(proposals, "product_id long, canonical_id long, confidence double, method string, seq long")
+        assert {x["seq"]: x["outcome"] for x in writes.arbitrate(left, right).collect()} == want
+
+
+def test_ingest(spark):
+    schema = "id long, brand_id long, external_id string, name string, normalized_name string, category string, manufacturer_brand string, size_value decimal(10,3), size_unit string, pack_count int, variant_descriptor string, category_normalised string"
+    products = spark.createDataFrame([(1, 1, "e1", "Lacta 85g", "lacta 85g", None, None, None, None, 1, None, None)], schema)
+    offers = spark.createDataFrame([], "id long, product_id long, crawl_run_id long, price decimal(10,2), scraped_at timestamp, currency string")
+    incoming = spark.createDataFrame([item(1, "e1", "Lacta 85g"), item(2, "", "Milk"), item(3, "e2", "Milk"), item(4, "e1", "Lacta 85g"), item(5, "e5", "", price=None)], ITEM).drop("normalized_name", "brand_id").withColumn("category", F.lit("Sweets"))
+    got = writes.ingest(products, offers, incoming, (7, 1, "running"))
+    assert got["counts"].collect()[0].asDict() == {"offers_persisted": 4, "products_created": 1, "products_updated": 1}
+    assert [(r["product_id"], r["crawl_run_id"]) for r in got["offers"].orderBy("id").collect()] == [(1, 7), (2, 7), (2, 7), (1, 7)] and got["rejected"].count() == 1
+    after = {r["id"]: r for r in got["products"].collect()}
+    assert after[1]["manufacturer_brand"] == "lacta" and str(after[1]["size_value"]) == "85.000" and after[1]["category_normalised"] == "sweets" and after[2]["external_id"] is None and len(after) == 2
+    try:
+        writes.ingest(products, offers, incoming, (7, 1, "failed"))
+        raise AssertionError("a run that has ended takes no offers")
+    except ValueError:
+        pass
 
 
 def test_canonical_upsert_and_refresh(spark):
@@ -191,6 +269,18 @@ def test_card_pages(spark):
     assert [(r["external_id"], r["name"], str(r["price"]), r["discount_pct"]) for r in got] == [("s1", "Cheese", "3.20", 20)]
 
 
+def test_every_crawl_is_a_snapshot(spark):
+    """The same page of two days gives the offers of both; a repeated row gives nothing more; deep and broken pages don't end a task."""
+    days = [datetime.datetime(2026, 5, d) for d in (1, 2, 2)]
+    card = '<article class="product" data-id="11"><a href="/p">Oil</a><span class="diagonal-line">6,00</span><span class="price-whole">4</span></article>'
+    deep = "<div>" * 20_000 + card
+    grid = '<div data-grid-data="{&quot;productId&quot;:1,&quot;title&quot;:&quot;Tea&quot;,&quot;regionsPrices&quot;:{&quot;1&quot;:{&quot;currentPrice&quot;:{&quot;price&quot;:1,&quot;oldPrice&quot;:2}}}}"></div>'
+    gift = """<div data-plugin-product='{"sku":"s","name":"N","price":3}'><b class="badge">-20%</b></div>"""
+    for source, page in ((chains.mymarket, deep), (chains.lidl, grid), (chains.sklavenitis, gift)):
+        rows = spark.createDataFrame([(page, d) for d in days] + [(None, days[0]), ("", days[0]), (page, None)], "body string, scraped_at timestamp")
+        assert sorted(str(r["scraped_at"]) for r in source(rows).collect()) == sorted(map(str, [days[0], days[1], None]))
+
+
 def test_registry_and_links(spark):
     assert set(chains.PARSERS) == {"ab", "lidl", "masoutis", "my-market", "sklavenitis"}
     got = chains.campaign_links(bodies(spark, '<a href="/c/a1"><a href="/x"><a href="/c/b2"><a href="/c/a1">'), "^/c/").orderBy("position").collect()
