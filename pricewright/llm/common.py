@@ -15,9 +15,11 @@ BATCH_ROWS, BATCH_SETTING = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only where the session names none (local runs) a new one."""
+    """The folder that driver and executors share. Only a local session that names none gets a new one; elsewhere that is an error."""
     at = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT_DIR} has to name a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="pricewright-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -37,10 +39,19 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(self.path(table))
 
     def drop(self, table: str) -> None:
-        jvm = self.spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(self.path(table))
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(table))
         at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
+    def finish(self, df: DataFrame) -> DataFrame:
+        """The rows as the one table that is left; all others, which they were made from, go."""
+        out = self.write(df, "result")
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for f in fs.listStatus(at):
+            if f.getPath().getName() != "result":
+                fs.delete(f.getPath(), True)
+        return out
+
 
 def on_executors(spark: SparkSession) -> None:
     """Lets Python workers started from here import this package, whatever folder the driver was started in, and bounds their batches."""

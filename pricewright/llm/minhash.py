@@ -388,7 +388,7 @@ def classify(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     own = classes.select("node", "h", "rep").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     of = own.groupBy("component").agg(F.min("rep").alias("class_id"), F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "h")).alias("first"))
     of = own.join(of, "component").select("h", "class_id", F.col("first.h").alias("first_h"))
-    return rows.select("doc_id", "h").join(of, "h")
+    return scratch.finish(rows.select("doc_id", "h").join(of, "h"))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -400,7 +400,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row of each class, all columns of ``docs``: that of the least id, or of the least digest where no row has an id."""
     scratch = Scratch(docs.sparkSession, "keep-one")
-    found = scratch.write(classify(docs, similarity), "classes")
+    found = classify(docs, similarity)
     stays = (F.col("h") == F.col("first_h")) & F.col("doc_id").eqNullSafe(F.col("class_id"))
     id2, h2, h, rank = fresh(docs, "pw_id", "pw_digest2", "pw_digest", "pw_rank")
     pair = [F.col("doc_id").alias(id2), F.col("h").alias(h2)]

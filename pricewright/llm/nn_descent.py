@@ -252,7 +252,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, vector: str =
     of = of.join(least, "component", "left").select("h", (F.col("weight") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("least", "rep").alias("component_id"))
     linked = rows.where("h is not null").select("vec_id", "h").join(of, "h").select("vec_id", "n_links", "component_id")
     alone = rows.where("h is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    return scratch.finish(linked.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False))))
 
 
 def op3_nn_descent(spark, sf_dir: str) -> DataFrame:

@@ -27,6 +27,10 @@ BLOCK = 128
 PERCENTILE = 0.9
 #: A segment ends with the document that fills it.
 SEGMENT_TOKENS = 1 << 19
+#: Segments whose starts are broadcast, at 24 bytes each.
+BROADCAST_ROWS = 200_000
+#: Tokens that a partition of the range shuffle gets, at most about so many.
+PARTITION_TOKENS = 1 << 24
 END_ID = 2
 SEGMENT_SCHEMA = "part int, seq int, n_docs long, n_tokens long, payload binary"
 
@@ -112,50 +116,70 @@ def open_segment(data: bytes) -> tuple[list[int | None], np.ndarray, Packed]:
     return [None if z else int(k) for k, z in zip(keys, nulls, strict=True)], lengths, Packed(data, 16 + 17 * n)
 
 
+def encode_rows(docs: DataFrame, vocabulary: bytes, end_id: int = END_ID) -> DataFrame:
+    """doc_id, tie (a hash of the text), n and ids of each row: its ids and ``end_id`` as little-endian numbers of 16 bits, or of 32 where one needs them."""
+    book = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches):
+        enc = encoder(book.value)
+        for batch in batches:
+            for s in slices(batch, "text", 2_000_000):
+                flat, size = enc.encode(s.column("text"))
+                flat, size = np.insert(flat, np.cumsum(size), np.uint32(end_id)), size + 1
+                kind = np.dtype("<u2" if not len(flat) or int(flat.max()) < 1 << 16 else "<u4")
+                at = np.concatenate([[0], np.cumsum(size)]) * kind.itemsize
+                raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(flat.astype(kind).tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([s.column("doc_id").cast(pa.int64()), s.column("tie"), pa.array(size), raw], names=["doc_id", "tie", "n", "ids"])
+
+    return docs.select("doc_id", F.xxhash64("text").alias("tie"), "text").mapInArrow(run, "doc_id long, tie long, n long, ids binary")
+
+
 def write_tokens(docs: DataFrame, vocabulary: bytes, path: str, end_id: int = END_ID, partitions: int | None = None) -> None:
     """Encodes every whole text (null: empty), appends ``end_id`` and writes the segments in ascending (doc_id, text) order.
 
     Needs ``doc_id`` and ``text``; other columns are left aside. Null ids come first, repeated rows stay and lie side by
-    side, an empty table writes no segment. One range shuffle; a task holds one segment at a time.
+    side, an empty table writes no segment. Texts are encoded where they lie; only ids go through the one range shuffle,
+    in as many partitions as their number asks for. A task holds one segment at a time.
     """
     spark = docs.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tie = F.xxhash64("text")
-    rows = docs.select("doc_id", "text").repartitionByRange(n, "doc_id", tie).sortWithinPartitions("doc_id", tie)
-    book = spark.sparkContext.broadcast(vocabulary)
+    scratch = Scratch(spark, "encoded")
+    encoded = scratch.write(encode_rows(docs, vocabulary, end_id), "rows")
+    if not partitions:
+        total = encoded.agg(F.sum("n")).first()[0] or 0
+        partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PARTITION_TOKENS))
+    rows = encoded.repartitionByRange(partitions, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "n", "ids")
     budget = SEGMENT_TOKENS
 
     def run(batches):
-        enc, part, seq = encoder(book.value), TaskContext.get().partitionId(), 0
+        part, seq = TaskContext.get().partitionId(), 0
         keys, lengths, ids = [], [], []
         held = 0
 
         def flush():
             nonlocal seq, keys, lengths, ids, held
-            k, le, x = keys, np.concatenate(lengths), np.concatenate(ids)
+            k, le, x = keys, np.array(lengths, np.int64), np.concatenate(ids).astype(np.uint32)
             row = {"part": [part], "seq": [seq], "n_docs": [len(k)], "n_tokens": [len(x)], "payload": [make_segment(k, le, x)]}
             seq, keys, lengths, ids, held = seq + 1, [], [], [], 0
             return pa.RecordBatch.from_pydict(row, schema=pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("payload", pa.binary())]))
 
         for batch in batches:
-            for s in slices(batch, "text", 2_000_000):
-                flat, size = enc.encode(s.column("text"))
-                ends = np.cumsum(size)
-                flat, size = np.insert(flat, ends, np.uint32(end_id)), size + 1
-                keys += s.column("doc_id").to_pylist()
-                lengths.append(size)
-                ids.append(flat)
-                held += len(flat)
+            for key, n, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                data = raw.as_buffer()
+                keys.append(key)
+                lengths.append(n)
+                ids.append(np.frombuffer(data, "<u2" if data.size == 2 * n else "<u4"))
+                held += n
                 if held >= budget:
                     yield flush()
         if keys:
             yield flush()
 
     rows.mapInArrow(run, SEGMENT_SCHEMA).write.mode("overwrite").parquet(path)
+    scratch.drop("")
 
 
-def read_tokens(spark, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 and ids of every document, read from the segments of ``path``.
+def read_tokens(spark, path: str, keep_ids: bool = True) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 and (``keep_ids``) ids of every document, read from the segments of ``path``.
 
     ``start`` counts all ids before the document in file order.
     """
@@ -166,8 +190,10 @@ def read_tokens(spark, path: str) -> DataFrame:
     parts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("part_start"))
     inside = Window.partitionBy("part").orderBy("seq")
     starts = sizes.withColumn("s", F.sum("n_tokens").over(inside) - F.col("n_tokens")).join(parts, "part").select("part", "seq", (F.col("s") + F.col("part_start")).alias("first"))
+    # Starts of few segments go to the segments; those of more are joined by a shuffle.
+    starts = F.broadcast(starts) if sizes.count() <= BROADCAST_ROWS else starts
     rows = segments.join(starts, ["part", "seq"]).select("first", "payload")
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.list_(pa.int64()))])
+    names = ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * keep_ids
 
     def run(batches):
         for batch in batches:
@@ -180,21 +206,22 @@ def read_tokens(spark, path: str) -> DataFrame:
                     cuts = np.concatenate([[lo], ends[a : a + 256]]) - lo
                     raw = ids.astype("<u4").tobytes()
                     crcs = [zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-                    lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids.astype(np.int64)))
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + 256], pa.int64()), pa.array(first + lo + cuts[:-1]), pa.array(lengths[a : a + 256]), pa.array(crcs, pa.int64()), lists], schema=schema)
+                    columns = [pa.array(keys[a : a + 256], pa.int64()), pa.array(first + lo + cuts[:-1]), pa.array(lengths[a : a + 256]), pa.array(crcs, pa.int64())]
+                    if keep_ids:
+                        columns.append(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids.astype(np.int64))))
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<long>")
+    return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * keep_ids)
 
 
-def token_table(docs: DataFrame, vocabulary: bytes, end_id: int = END_ID) -> DataFrame:
+def token_table(docs: DataFrame, vocabulary: bytes, end_id: int = END_ID, keep_ids: bool = True) -> DataFrame:
     """Writes the documents' ids to a new place in the shared folder and reads them back."""
     at = Scratch(docs.sparkSession, "tokens").path("segments")
     write_tokens(docs, vocabulary, at, end_id)
-    return read_tokens(docs.sparkSession, at)
+    return read_tokens(docs.sparkSession, at, keep_ids)
 
 
 def op6_token_files(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    ids = token_table(table(spark, sf_dir, "documents"), read_local(public_tokenizers.path("word_bpe_49k.json")))
-    return ids.select("doc_id", "start", "n_tokens", "ids_crc32")
+    return token_table(table(spark, sf_dir, "documents"), read_local(public_tokenizers.path("word_bpe_49k.json")), keep_ids=False)

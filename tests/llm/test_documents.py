@@ -97,6 +97,54 @@ def test_quality(spark):
     assert {r["doc_id"] for r in quality.keep_sample(docs, labels, k=100).collect()} == {r["doc_id"] for r in some.where("kept").collect()}
 
 
+def test_gumbel_top_k_by_plain_draw(spark):
+    """The sample is the k largest of log weight plus noise, with the noise of each row drawn again here from its id and words."""
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    rows = quality.classify(docs, labels, k=250).collect()
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    full = (1 << 64) - 1
+
+    def mix(x):
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> shift)) * factor & full
+        return x ^ (x >> 31)
+
+    def word(w):
+        value = 0
+        for b in reversed(w.encode()):
+            value = (value * 0x9E3779B97F4A7C15 + b + 1) & full
+        return mix(value)
+
+    want = {}
+    for r in rows:
+        total = sum(word(w) for w in re.split("[ \t\n\r\f\v]+", texts[r["doc_id"]] or "") if w) & full
+        key = mix(mix((r["doc_id"] + quality.SEED) & full) ^ total)
+        u = ((key >> 11) + 0.5) / 2.0**53
+        want[r["doc_id"]] = r["log_weight"] - np.log(-np.log(u))
+        assert np.isclose(want[r["doc_id"]], r["sort_key"])
+    top = sorted(want, key=lambda i: -want[i])[:250]
+    assert {r["doc_id"] for r in rows if r["kept"]} == set(top)
+
+
+def test_gumbel_draws_in_proportion():
+    """The first of a sample falls on each row as often as its weight says."""
+    weights = np.log(np.array([1.0, 2.0, 4.0, 8.0]))
+    keys = quality.mix(np.arange(80_000, dtype=np.uint64).reshape(20_000, 4))
+    first = np.argmax(weights + quality._gumbel(keys), axis=1)
+    assert np.allclose(np.bincount(first) / 20_000, np.array([1, 2, 4, 8]) / 15, atol=0.015)
+
+
+def test_size_of_the_sample(spark):
+    """Without k, as many are kept as weigh at least what the worst of the best labelled good ones do, or half way down to the next bad one."""
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    rows = quality.classify(docs, labels).toPandas().merge(labels.toPandas(), on="doc_id", how="left")
+    good, bad = (np.sort(rows[rows.quality == q].log_weight.to_numpy()) for q in (1, 0))
+    floor = good[int((1 - quality.KEEP_GOOD) * len(good))]
+    below = bad[bad < floor]
+    floor = (floor + below[-1]) / 2 if len(below) else floor
+    assert rows.kept.sum() == (rows.log_weight >= floor).sum()
+
+
 def test_weights_by_plain_counts():
     texts = ["a b a b", "a b c", "x!! y!! x!!", None]
     own, bucket = quality.document_buckets(pa.array(texts))
@@ -152,6 +200,36 @@ def test_rules_are_filed_by_their_rarest_token():
     assert by["en"] == [0] and by["example"] == [1] and by["net"] == [2, 3] and rest == [5]
 
 
+LINES = ["! comment", "[Adblock]", "", "site.com##.ad", "||ads.example^", "@@||ads.example/fine^", "/banner/*/img^", "|http://start.net/x", "end.gif|", "/track[0-9]+\\.js/", "||cdn.site.org^pixel$image,third-party", "plain-word", "*", "||wide*spam.biz^"]
+
+
+def test_filter_list_lines():
+    rules = url_filter.parse_rules(LINES)
+    assert len(rules) == 9 and rules[0].tokens == ("ads", "example") and rules[1].verdict == "allow" and rules[5].tokens == ()
+    hit = lambda text: [i for i, r in enumerate(rules) if re.compile(r.regex, re.S).match(text)]
+    assert hit("ads.example/") == [0] and hit("x.ads.example/fine/") == [0, 1] and hit("bads.example/") == [] and hit("ads.example.com/") == []
+    assert hit("a.com/banner/7/img") == [2] and hit("a.com/banner/7/imgs") == [] and hit("start.net/xyz") == [3] and hit("a.start.net/x") == []
+    assert hit("a.com/end.gif") == [4] and hit("a.com/end.gif2") == [] and hit("a.com/TRACK12.js") == [5] and hit("cdn.site.org/pixel") == [6] and hit("a.com/a-plain-word-b") == [7]
+    assert hit("wide.x.spam.biz/") == [8]
+
+
+def test_filter_list_by_brute_force(spark):
+    """What the index finds is what all rules run over all URLs find."""
+    import random
+
+    r = random.Random(4)
+    words = ["ads", "cdn", "img", "track", "a", "shop", "news", "x1"]
+    urls = [f"http://{'.'.join(r.choices(words, k=r.randint(1, 3)))}.com/{'/'.join(r.choices(words, k=r.randint(0, 3)))}" for _ in range(400)]
+    lines = [*LINES, *("@@" * (i % 7 == 0) + r.choice(["||", "|http://", "", "/"]) + r.choice([".", "/", "-", "*", "^"]).join(r.choices(words, k=r.randint(1, 3))) + r.choice(["^", "", "|", "*"]) for i in range(60))]
+    rules = url_filter.parse_rules(lines)
+    got = {x["page_id"]: x["verdict"] for x in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id int, url string"), (), rules).collect()}
+    for i, u in enumerate(urls):
+        host, _, path = u[7:].partition("/")
+        hits = [x.verdict for x in rules if re.compile(x.regex, re.S).match(host + "/" + path)]
+        assert got[i] == ("block" if hits and "allow" not in hits else "allow"), u
+    assert set(got.values()) == {"block", "allow"}
+
+
 def permuted(spark, kind, values):
     df = spark.createDataFrame(list(enumerate(values)), "i int, x string")
     return [r["y"] for r in df.select("i", pii.MAKERS[kind](F.col("x"), "key").alias("y")).orderBy("i").collect()]
