@@ -222,6 +222,41 @@ def test_pipeline(spark, sf, word_vocabulary):
     assert sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in whole) == sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in rows)
 
 
+def test_pipeline_odd(spark, odd_docs, tmp_path):
+    """Nulls in any column, empty and long texts, repeated rows, a null id, columns that stages use themselves; no labels; no rows."""
+    labels = "doc_id long, quality int, toxic int"
+    cases = {
+        "odd": (odd_docs, spark.createDataFrame([(0, 1, 0), (3, 1, 0), (3, 1, 0), (5, 0, None), (None, 1, 0), (77, None, None)], labels)),
+        "no labels": (odd_docs, spark.createDataFrame([], labels)),
+        "no rows": (odd_docs.limit(0), spark.createDataFrame([(0, 1, 0)], labels)),
+        "ties": (spark.createDataFrame([(i, "the same seven words are in here", "x", 32, 1.0, "y") for i in (5, 5, 4, 9, None)], odd_docs.schema), spark.createDataFrame([(4, 1, 0), (9, 0, 0)], labels)),
+    }
+    for name, (docs, labelled) in cases.items():
+        at = str(tmp_path / name.replace(" ", "-"))
+        docs.withColumn("pw_id", F.lit(1)).withColumn("n", F.lit("n")).write.parquet(f"{at}/documents.parquet")
+        labelled.write.parquet(f"{at}/labels.parquet")
+        seen, scratch = spark.read.parquet(f"{at}/documents.parquet"), Scratch(spark, "odd")
+        for stage_name, stage in corpus_pipeline.STAGES[:-1]:
+            after = scratch.write(stage(spark, seen, at), stage_name)
+            assert after.schema == seen.schema and after.count() <= seen.count()
+            seen = after
+        rows = corpus_pipeline.run(spark, at).collect()
+        left = [r["doc_id"] for r in seen.select("doc_id").collect()]
+        assert sorted({(r["doc_id"] is None, r["doc_id"] or 0) for r in rows}) == sorted({(i is None, i or 0) for i in left})
+        by: dict = {}
+        for r in rows:
+            by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        for placed in by.values():
+            placed.sort()
+            assert [o for o, _ in placed] == [sum(n for _, n in placed[:k]) for k in range(len(placed))]
+        if name == "no labels":
+            assert len(left) == len({r["text"] or "" for r in odd_docs.collect()}) and len(set(left)) == len(left)
+        if name == "ties":
+            assert left == [4]
+        if name == "no rows":
+            assert rows == []
+
+
 def linked_by_all_pairs(vectors):
     x = np.array(vectors, np.float64)
     x /= np.linalg.norm(x, axis=1)[:, None]
@@ -302,7 +337,8 @@ def test_long_addresses_and_secrets(spark):
     key = "k"
 
     def fill(m):
-        return "".join(hashlib.sha256(f"{key}:secret{i}:{m.lower()}".encode()).hexdigest() for i in range(len(m) // 64 + 1))[: len(m)]
+        seed = hashlib.sha256(f"{key}:secret:{m.lower()}".encode()).hexdigest()
+        return "".join(hashlib.sha256(f"{seed}:{i}".encode()).hexdigest() for i in range(len(m) // 64 + 1))[: len(m)]
 
     values = ["a1" * 20, "0f" * 64, "0f" * 150, "sk_" + "aB3" * 60, "ghp_" + "aB3" * 200, "sk-" + "x9" * 20_000]
     mails = ["x" * 65 + "@example.com", "name@" + "y" * 64 + ".org"]
