@@ -485,45 +485,71 @@ def percent_parse(spark, sf_dir):
     return d.select("doc_id", numbers.parse_percent(F.col("text")).cast("double").alias("pct"))
 
 
-@query()
+def _named(spark, sf_dir: str, name: str) -> DataFrame:
+    """Parts under a name made of their columns by the expression, which runs in both engines."""
+    return spark.sql(f"select p_partkey as id, {name} as name from {{part}}", part=spark.read.parquet(f"{sf_dir}/part.parquet"))
+
+
+SIZED = """case p_partkey % 6 when 0 then concat(p_name, ' ', p_size, 'ml') when 1 then concat(p_name, ' ', p_size, ',5 Kg') when 2 then concat(p_name, ' 2x', p_size, ' γρ.')
+  when 3 then concat(p_name, ' 500g ', p_size, ' lt') when 4 then concat(p_name, ' No', p_size, ' 30ml') else p_name end"""
+
+
+@query("""
+select p_partkey as id, case when p_partkey % 6 < 5 then p_size + case when p_partkey % 6 = 1 then 0.5 else 0 end end::double as size_value,
+       case p_partkey % 6 when 0 then 'ml' when 1 then 'kg' when 2 then 'g' when 3 then 'l' when 4 then 'no' end as size_unit from part""")
 def size_extract(spark, sf_dir):
-    """Lookarounds, which the other engine's patterns lack; held against worked examples in tests."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return d.select("doc_id", text.size(F.col("text")).alias("s")).select("doc_id", F.col("s.value").alias("size_value"), F.col("s.unit").alias("size_unit"))
+    return _named(spark, sf_dir, SIZED).select("id", text.size(F.col("name")).alias("s")).select("id", F.col("s.value").alias("size_value"), F.col("s.unit").alias("size_unit"))
 
 
-@query()
+PACKED = """case p_partkey % 5 when 0 then concat(p_name, ' ', p_size, 'x330ml') when 1 then concat(p_name, ' ', p_size, ' × 1,5L + 2 Δώρο') when 2 then p_name
+  when 3 then concat(p_name, ' 6 χ ', p_size, 'g') else concat(p_name, ' x', p_size) end"""
+
+
+@query("select p_partkey as id, case p_partkey % 5 when 3 then 6 when 0 then case when p_size <= 48 then p_size else 1 end when 1 then case when p_size <= 48 then p_size else 1 end + 2 else 1 end as pack from part")
 def pack_extract(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return d.select("doc_id", text.pack_count(F.col("text")).alias("pack"))
+    return _named(spark, sf_dir, PACKED).select("id", text.pack_count(F.col("name")).alias("pack"))
 
 
-@query()
-def greek_date_parse(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return d.select("doc_id", numbers.parse_date(F.col("text"), 2026).cast("string").alias("day"))
+DATED = """case p_partkey % 5 when 0 then concat('έως ', p_size % 28 + 1, ' Μαΐου ', 2020 + p_size % 7) when 1 then concat('από ', p_size % 28 + 1, '.', p_size % 12 + 1) when 2 then concat(p_size % 28 + 1, '/', p_size % 12 + 1, '/', 2020 + p_size % 7)
+  when 3 then concat(p_size % 28 + 1, '-', p_size % 12 + 1, '-26') else p_name end"""
 
 
-def _features(spark, sf_dir) -> DataFrame:
-    p = star_views(spark, sf_dir).products.where("manufacturer_brand is not null")
-    kinds = F.array_sort(F.array_distinct(F.split(F.lower("variant_descriptor"), "[^a-z0-9]+")))
-    return p.select(
-        F.col("id").alias("product_id"), F.col("brand_id").cast("string").alias("brand_slug"), "name", "category", F.col("manufacturer_brand").alias("manufacturer"),
-        F.struct((F.col("id") % 40).cast("double").alias("value"), F.lit("ml").alias("unit")).alias("size"), F.col("pack_count").alias("pack"), kinds.alias("variant_tokens"),
-    ).withColumn("canonical_key", text.canonical_key(F.col("manufacturer"), F.col("variant_tokens"), F.col("size"), F.col("pack")))
+@query("""
+select p_partkey as id, case p_partkey % 5 when 4 then null else cast(make_date(case when p_partkey % 5 in (0, 2) then 2020 + p_size % 7 else 2026 end, case when p_partkey % 5 = 0 then 5 else p_size % 12 + 1 end, p_size % 28 + 1) as varchar) end as day from part""")
+def greek_date_parse(spark, sf_dir):
+    return _named(spark, sf_dir, DATED).select("id", numbers.parse_date(F.col("name"), 2026).cast("string").alias("day"))
 
 
-@query()
-def entity_groups(spark, sf_dir):
-    """The whole resolution: blocks, rules, components and payloads."""
-    f = _features(spark, sf_dir)
-    grouped = resolve.groups(f, resolve.scored_pairs(f))
-    return resolve.payloads(grouped).select("canonical_key", "manufacturer_brand", "pack_count", "variant_descriptor", "display_name", F.size("members").alias("members_count"), "brands_count")
+#: Names that lists use for makers, the maker they stand for, and a store's own label and an unknown name, which stand for none.
+ALIASES = (("Lacta", "lacta"), ("COCA COLA", "coca-cola"), ("Φάγε", "fage"), ("RedBull", "red-bull"), ("Kri-Kri", "kri-kri"), ("Somebody", None), ("My Gusto", None), ("Δωδώνη", "dodoni"))
+_ALIAS = "case p_partkey % 8 " + " ".join(f"when {i} then '{a}'" for i, (a, _) in enumerate(ALIASES)) + " end"
+_MAKER = "case p_partkey % 8 " + " ".join(f"when {i} then '{m}'" for i, (_, m) in enumerate(ALIASES) if m) + " end"
 
 
-@query()
+@query(f"""
+, n as (select p_partkey as id, {_MAKER} as manufacturer, p_size, list_sort(list_distinct(list_filter(string_split(lower(case p_partkey % 8 when 5 then 'somebody ' when 6 then 'my gusto ' else '' end || p_name), ' '), lambda w: w <> 'new'))) as t from part)
+select id, manufacturer, p_size::double as size_value, 'ml' as size_unit, 6 as pack, array_to_string(t, ' ') as tokens, manufacturer || ':' || array_to_string(t[1:4], '-') || ':' || p_size || 'ml:6' as canonical_key from n""".replace(", n as", "with n as"))
 def product_features(spark, sf_dir):
-    return text.with_features(star_views(spark, sf_dir).products.select("id", "name")).select("id", "manufacturer", F.col("size.value").alias("size_value"), F.col("size.unit").alias("size_unit"), "pack", F.array_join("variant_tokens", " ").alias("tokens"), "canonical_key")
+    rows = text.with_features(_named(spark, sf_dir, f"concat({_ALIAS}, ' ', p_name, ' 6x', p_size, 'ml')"))
+    return rows.select("id", "manufacturer", F.col("size.value").alias("size_value"), F.col("size.unit").alias("size_unit"), "pack", F.array_join("variant_tokens", " ").alias("tokens"), "canonical_key")
+
+
+#: Five chains list each product; the fourth adds a word to its name, the fifth sells another variant. Sizes tell products apart.
+LISTED = "concat(case floor(p_partkey / 5) % 2 when 0 then 'Lacta' else 'Δωδώνη' end, case p_partkey % 5 when 3 then ' Dark Extra Milk ' when 4 then ' White ' else ' Dark Milk ' end, cast(floor(p_partkey / 5) as int) + 1, 'g')"
+
+
+@query("""
+with g as (select p_partkey // 5 as g, p_partkey // 5 + 1 as size, case p_partkey // 5 % 2 when 0 then 'lacta' else 'dodoni' end as maker, case p_partkey // 5 % 2 when 0 then 'Lacta' else 'Δωδώνη' end as alias, count(*) as n from part group by 1, 2, 3, 4),
+rows as (
+  select maker || ':dark-extra-milk:' || size || 'g:1' as canonical_key, maker as manufacturer_brand, 'Dark Milk' as variant_descriptor, alias || ' Dark Extra Milk ' || size || 'g' as display_name, 4 as members_count, 4 as brands_count, size from g
+  union all select maker || ':white:' || size || 'g:1', maker, 'White', alias || ' White ' || size || 'g', 1, 1, size from g)
+select canonical_key, manufacturer_brand, size::double as size_value, variant_descriptor, display_name, members_count, brands_count, (row_number() over (order by canonical_key) - 1) // 200 as batch from rows""")
+def entity_groups(spark, sf_dir):
+    """The whole resolution, from names to batches: features, blocks, rules, components and payloads."""
+    names = _named(spark, sf_dir, LISTED)
+    products = names.select(F.col("id").alias("product_id"), F.concat(F.lit("c"), (F.col("id") % 5).cast("string")).alias("brand_slug"), "name", F.lit("Sweets").alias("category"))
+    rows = resolve.canonicalise(products, include_singletons=True)["payload"]
+    return rows.select("canonical_key", "manufacturer_brand", "size_value", "variant_descriptor", "display_name", F.size("members").alias("members_count"), "brands_count", "batch")
 
 
 @query("select o.promo_label as label, count(*) as n, cast(sum(cast(o.price as double)) is not null as boolean) as priced from v_offers o group by 1 order by n desc, label nulls first limit 20")
