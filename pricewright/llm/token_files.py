@@ -10,11 +10,11 @@ committer writes whole or not at all, wherever the shared store is; ``open_segme
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,8 +29,8 @@ PERCENTILE = 0.9
 SEGMENT_TOKENS = 1 << 19
 #: Segments whose starts are broadcast, at 24 bytes each.
 BROADCAST_ROWS = 200_000
-#: Tokens that a partition of the range shuffle gets, at most about so many.
-PARTITION_TOKENS = 1 << 24
+#: Bytes of text whose ids make one part, and rows of the sample that cuts the parts.
+PART_BYTES, SAMPLE = 1 << 26, 50_000
 END_ID = 2
 SEGMENT_SCHEMA = "part int, seq int, n_docs long, n_tokens long, payload binary"
 
@@ -116,12 +116,29 @@ def open_segment(data: bytes) -> tuple[list[int | None], np.ndarray, Packed]:
     return [None if z else int(k) for k, z in zip(keys, nulls, strict=True)], lengths, Packed(data, 16 + 17 * n)
 
 
-def encode_rows(docs: DataFrame, vocabulary: bytes, end_id: int = END_ID) -> DataFrame:
-    """doc_id, tie (a hash of the text), n and ids of each row: its ids and ``end_id`` as little-endian numbers of 16 bits, or of 32 where one needs them."""
-    book = docs.sparkSession.sparkContext.broadcast(vocabulary)
+def _cuts(docs: DataFrame, least: int) -> list[tuple]:
+    """Where the order of the rows is cut into parts of about equal size, as keys (has an id, id, hash of the text, row).
+
+    From a sample of at most about SAMPLE rows, which also tells how much text there is and so how many parts it takes.
+    The last two members of a key cut ids that many rows have, and rows that are all alike.
+    """
+    rows = docs.count()
+    share = min(1.0, SAMPLE / rows) if rows else 1.0
+    some = docs.sample(share, seed=5) if share < 1 else docs
+    found = some.select("doc_id", F.xxhash64("text"), F.monotonically_increasing_id(), F.coalesce(F.octet_length("text"), F.lit(0))).collect()
+    keys = sorted(((r[0] is not None, r[0] or 0, r[1], r[2]), r[3] + 1) for r in found)
+    ends = np.cumsum([size for _, size in keys])
+    parts = max(least, int(ends[-1] / share) // PART_BYTES + 1) if len(ends) else 1
+    return sorted({keys[i][0] for i in np.searchsorted(ends, ends[-1] * np.arange(1, parts) / parts).tolist()}) if len(ends) else []
+
+
+def encode_rows(docs: DataFrame, vocabulary: bytes, cuts: list[tuple], end_id: int = END_ID) -> DataFrame:
+    """part, doc_id, tie, row, n and ids of each row: its ids and ``end_id`` as little-endian numbers of 16 bits, or of 32 where one needs them."""
+    book = docs.sparkSession.sparkContext.broadcast((vocabulary, cuts))
 
     def run(batches):
-        enc = encoder(book.value)
+        words, cuts = book.value
+        enc = encoder(words)
         for batch in batches:
             for s in slices(batch, "text", 2_000_000):
                 flat, size = enc.encode(s.column("text"))
@@ -129,31 +146,30 @@ def encode_rows(docs: DataFrame, vocabulary: bytes, end_id: int = END_ID) -> Dat
                 kind = np.dtype("<u2" if not len(flat) or int(flat.max()) < 1 << 16 else "<u4")
                 at = np.concatenate([[0], np.cumsum(size)]) * kind.itemsize
                 raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(flat.astype(kind).tobytes())]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([s.column("doc_id").cast(pa.int64()), s.column("tie"), pa.array(size), raw], names=["doc_id", "tie", "n", "ids"])
+                doc = s.column("doc_id").cast(pa.int64())
+                part = [bisect_right(cuts, (d is not None, d or 0, t, r)) for d, t, r in zip(doc.to_pylist(), s.column("tie").to_pylist(), s.column("row").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), doc, s.column("tie"), s.column("row"), pa.array(size), raw], names=["part", "doc_id", "tie", "row", "n", "ids"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("tie"), "text").mapInArrow(run, "doc_id long, tie long, n long, ids binary")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("row"), "text")
+    return rows.mapInArrow(run, "part int, doc_id long, tie long, row long, n long, ids binary")
 
 
 def write_tokens(docs: DataFrame, vocabulary: bytes, path: str, end_id: int = END_ID, partitions: int | None = None) -> None:
     """Encodes every whole text (null: empty), appends ``end_id`` and writes the segments in ascending (doc_id, text) order.
 
     Needs ``doc_id`` and ``text``; other columns are left aside. Null ids come first, repeated rows stay and lie side by
-    side, an empty table writes no segment. Texts are encoded where they lie; only ids go through the one range shuffle,
-    in as many partitions as their number asks for. A task holds one segment at a time.
+    side, an empty table writes no segment. Texts are encoded where they lie, each once, and ids go through one shuffle,
+    in as many parts as there is text for; parts lie in order. A task holds one segment at a time.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "encoded")
-    encoded = scratch.write(encode_rows(docs, vocabulary, end_id), "rows")
-    if not partitions:
-        total = encoded.agg(F.sum("n")).first()[0] or 0
-        partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PARTITION_TOKENS))
-    rows = encoded.repartitionByRange(partitions, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "n", "ids")
+    least = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = _cuts(docs.select("doc_id", "text"), least)
+    order = ["part", "doc_id", "tie", "row"]
+    rows = encode_rows(docs, vocabulary, cuts, end_id).repartition(max(least, len(cuts) + 1), "part").sortWithinPartitions(*order).select("part", "doc_id", "n", "ids")
     budget = SEGMENT_TOKENS
 
     def run(batches):
-        part, seq = TaskContext.get().partitionId(), 0
         keys, lengths, ids = [], [], []
-        held = 0
+        part, seq, held = None, 0, 0
 
         def flush():
             nonlocal seq, keys, lengths, ids, held
@@ -163,7 +179,11 @@ def write_tokens(docs: DataFrame, vocabulary: bytes, path: str, end_id: int = EN
             return pa.RecordBatch.from_pydict(row, schema=pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("payload", pa.binary())]))
 
         for batch in batches:
-            for key, n, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for now, key, n, raw in zip(*(batch.column(c).to_pylist() for c in range(3)), batch.column(3), strict=True):
+                if now != part:
+                    if keys:
+                        yield flush()
+                    part, seq = now, 0
                 data = raw.as_buffer()
                 keys.append(key)
                 lengths.append(n)
@@ -175,7 +195,6 @@ def write_tokens(docs: DataFrame, vocabulary: bytes, path: str, end_id: int = EN
             yield flush()
 
     rows.mapInArrow(run, SEGMENT_SCHEMA).write.mode("overwrite").parquet(path)
-    scratch.drop("")
 
 
 def read_tokens(spark, path: str, keep_ids: bool = True) -> DataFrame:
@@ -185,7 +204,7 @@ def read_tokens(spark, path: str, keep_ids: bool = True) -> DataFrame:
     """
     segments = spark.read.schema(SEGMENT_SCHEMA).parquet(path)
     sizes = segments.select("part", "seq", "n_tokens")
-    # At most one row a part goes through the window without a key; parts are shuffle partitions.
+    # At most one row a part goes through the window without a key; parts are of 64 MB of text.
     parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     parts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("part_start"))
     inside = Window.partitionBy("part").orderBy("seq")

@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct pieces that a worker keeps; past this it starts over, so its memory stays bounded.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 300_000
 #: Characters of text that are split at once.
 SLICE_CHARS = 2_000_000
 LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", ".,;:!?#$%&*|"

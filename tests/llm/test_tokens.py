@@ -78,6 +78,21 @@ def test_token_files(spark, library, word_vocabulary, documents):
     assert {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"], r["ids"]) for r in got} == want
 
 
+def test_token_files_cut_in_parts(spark, library, word_vocabulary, monkeypatch):
+    """An id that half of the rows have, and rows that are all alike, are cut; order and starts hold over all parts."""
+    monkeypatch.setattr(token_files, "SAMPLE", 60)
+    monkeypatch.setattr(token_files, "SEGMENT_TOKENS", 200)
+    rows = [(5, f"text number {i % 40}") for i in range(150)] + [(7, "all alike")] * 150 + [(i, f"other {i}") for i in range(-50, 50)] + [(None, "none")] * 9
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    monkeypatch.setattr(token_files, "PART_BYTES", 300)
+    assert len(token_files._cuts(docs, 4)) > 8
+    got = token_files.token_table(docs, word_vocabulary).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
+    assert all(b["start"] == a["start"] + a["n_tokens"] for a, b in zip(got, got[1:], strict=False)) and got[0]["start"] == 0
+    want = sorted((i is not None, i or 0, [*ids_of(library, t), 2]) for i, t in rows)
+    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["ids"]) for r in got) == want
+
+
 def test_token_files_odd(odd_docs, no_docs, word_vocabulary, library):
     got = token_files.token_table(odd_docs, word_vocabulary).orderBy("start").collect()
     assert [r["doc_id"] for r in got] == [None, 0, 1, 2, 3, 3, 3, *range(4, len(ODD))]
