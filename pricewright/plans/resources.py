@@ -49,6 +49,34 @@ def family_summary(rows: DataFrame) -> DataFrame:
     return rows.select("family_key", "manufacturer_brand", "category", "size_value", "size_unit", "pack_count", "variants_count", "brands_count", price.alias("prices"), "cheapest_brand", "image_url")
 
 
+def family_detail(t: Retail, key: str, valid_on) -> DataFrame:
+    """One row: the family's facts and totals, and its variants with their products and cheapest chain."""
+    from . import families
+
+    whole = families.family_detail(t, key, valid_on)
+    parts = families.parse_key(key)
+    facts = families.members(t)
+    for name, value in parts.items():
+        facts = facts.where(F.col(name) == F.lit(value).cast("decimal(10,3)") if name == "size_value" else F.col(name) == F.lit(value))
+    facts = facts.groupBy(*families.FAMILY).agg(F.max("category").alias("category"), F.min_by("image_url", F.when(F.coalesce(F.length("image_url"), F.lit(0)) > 0, F.col("id"))).alias("image_url"))
+    facts = facts.withColumns({"display_name": families.display_name(), "family_key": F.lit(key), "size_value": F.col("size_value").cast("double")})
+    first = lambda v: F.try_element_at(F.filter(v["products"], lambda p: p["price"].isNotNull()), F.lit(1))["brand"]
+    variants = F.transform("variants", lambda v: F.struct(v["variant"].alias("variant_descriptor"), v["min_price"].alias("min_price"), v["max_price"].alias("max_price"), first(v).alias("cheapest_brand"), v["products"].alias("products")))
+    return facts.join(whole, "family_key").withColumn("variants", variants)
+
+
+def run_resources(runs: DataFrame) -> DataFrame:
+    """Crawl runs as they are shown; counts that were never stated are 0, times are in ISO 8601."""
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ssXXX").alias(c)
+    count = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("int").alias(c)
+    return runs.select("id", F.col("brand_id").cast("long").alias("brand_id"), "status", iso("started_at"), iso("finished_at"), count("offers_found"), count("offers_persisted"), "error_message", "triggered_by")
+
+
+def bulk_result(counts: DataFrame) -> DataFrame:
+    """What an ingest answers."""
+    return counts.select(F.col("offers_persisted").alias("persisted"), "products_created", "products_updated")
+
+
 def savings(rows: DataFrame) -> DataFrame:
     """Prices with what the cheapest saves, in money and percent of the highest."""
     from ..functions.numbers import savings as amount

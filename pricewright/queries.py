@@ -8,26 +8,13 @@ from pyspark.sql import functions as F
 from .functions import numbers, text
 from .operators import core, resolve, writes
 from .plans import canonical, families, offers
-from .sources.retail import star_views, with_views
+from .registry import QUERIES, SQL, query
+from .sources.retail import star_views
 
 DAY = "1998-06-01"
 FEED = ("id", "product_id", "brand", "name", "category", "price", "original_price", "discount_pct", "valid_from", "valid_to")
 FAMILY_OUT = ("family_key", "category", "variants_count", "brands_count", "min_price", "max_price", "avg_price", "cheapest_brand", "image_url")
 
-QUERIES: dict = {}
-SQL: dict = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = with_views(sql.strip())
-        return f
-
-    return add
-
-
 def _days(df: DataFrame) -> DataFrame:
     """Dates as text and numbers that may be null as doubles, which both engines hand on alike."""
     kinds = {"valid_from": "string", "valid_to": "string", "discount_pct": "double"}
@@ -592,10 +579,8 @@ with shelf as ({SHELF}) select k as external_id, name, cast({price} as double) /
   {kind} as promo_type, day, position from shelf cross join (values ('2026-05-01'), ('2026-05-02')) d(day) where {keep}"""
 
 
-def _crawled(spark, sf_dir: str, chain: str) -> DataFrame:
+def crawled_bodies(spark, sf_dir: str, chain: str) -> DataFrame:
     """Responses of the chain's site that list all parts, twenty a page; two crawls of the same pages, one row of them repeated."""
-    from .sources import chains
-
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
     rows = spark.sql(SHELF.replace("from part", "from {part}"), part=part)
     euros = lambda c, point=".": F.concat((F.col(c) / 100).cast("long").cast("string"), F.lit(point), F.lpad((F.col(c) % 100).cast("string"), 2, "0"))
@@ -625,7 +610,13 @@ def _crawled(spark, sf_dir: str, chain: str) -> DataFrame:
     bodies = pages.select(F.concat(F.lit(head), F.array_join("cards", between), F.lit(tail)).alias("body"), days.alias("scraped_at"))
     if chain not in ("ab", "masoutis"):  # sources that keep one item of an id and page
         bodies = bodies.union(bodies.where(F.col("scraped_at") == F.lit("2026-05-02").cast("timestamp")))
-    got = chains.PARSERS[chain](bodies)
+    return bodies
+
+
+def _crawled(spark, sf_dir: str, chain: str) -> DataFrame:
+    from .sources import chains
+
+    got = chains.PARSERS[chain](crawled_bodies(spark, sf_dir, chain))
     numbers_ = [F.col(c).cast("double").alias(c) for c in ("price", "original_price", "discount_pct")]
     return got.select("external_id", "name", *numbers_, "promo_label", "promo_type", F.date_format("scraped_at", "yyyy-MM-dd").alias("day"), F.col("position").cast("int").alias("position"))
 
@@ -640,3 +631,8 @@ def _source(chain: str) -> None:
 
 for _chain in SOURCES:
     _source(_chain)
+
+
+from . import queries_functions, queries_writes  # noqa: E402  they register more of them
+
+__all__ = ["QUERIES", "SQL", "queries_functions", "queries_writes"]
