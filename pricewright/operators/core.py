@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import time
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
+from urllib.parse import urlencode
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -125,6 +129,11 @@ def directed(col, dir: str, nulls_last: bool = False) -> Column:
     return c.asc() if dir == "asc" else c.desc()
 
 
+def unknown_keys(given: Column, allowed: Sequence[str]) -> Column:
+    """The keys of a map that aren't allowed, in order of the alphabet; none for a null map."""
+    return F.array_sort(F.array_except(F.coalesce(F.map_keys(given), F.array().cast("array<string>")), F.array(*map(F.lit, allowed)).cast("array<string>")))
+
+
 def check_params(given: dict, allowed: Sequence[str]) -> None:
     """Unknown parameters are refused."""
     if unknown := sorted(set(given) - set(allowed)):
@@ -135,3 +144,41 @@ def envelope(df: DataFrame, page: int, per_page: int) -> dict:
     """The page's total and last page; two actions, the count and the slice, as any paginator needs."""
     total = df.count()
     return {"total": total, "last_page": max(1, -(-total // per_page)), "current_page": page, "per_page": per_page}
+
+
+def page_links(path: str, found: dict, params: dict | None = None) -> dict:
+    """Addresses of the first, last, previous, next and this page; parameters without a value are left out."""
+
+    def at(n: int) -> str:
+        return f"{path}?{urlencode({**{k: v for k, v in (params or {}).items() if v is not None}, 'page': n})}"
+
+    here, last = found["current_page"], found["last_page"]
+    return {"self": at(here), "first": at(1), "last": at(last), "prev": at(here - 1) if here > 1 else None, "next": at(here + 1) if here < last else None}
+
+
+def in_tuples(df: DataFrame, tuples: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The rows whose columns equal those of any tuple, null as a value like any other; each row once."""
+    keys = tuples.select(*[F.col(c).alias(f"__{c}") for c in columns]).distinct()
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in columns])
+    return df.join(keys, same, "left_semi")
+
+
+def batch_errors(size: Column, most: int = 500) -> Column:
+    """What is wrong with the number of items that come at once; null if nothing is."""
+    return F.when(F.coalesce(size, F.lit(0)) < 1, "no items").when(size > most, f"more than {most} items")
+
+
+class Remembered:
+    """Rows of a small result, kept for so many seconds; a new table of a crawl shows after that."""
+
+    def __init__(self, make, seconds: float = 3600, most: int = 100_000, clock=time.monotonic):
+        self.make, self.seconds, self.most, self.clock = make, seconds, most, clock
+        self.rows, self.until = None, None
+
+    def get(self) -> list:
+        if self.until is None or self.clock() >= self.until:
+            rows = self.make().limit(self.most + 1).collect()
+            if len(rows) > self.most:
+                raise ValueError(f"more than {self.most} rows to remember")
+            self.rows, self.until = rows, self.clock() + self.seconds
+        return self.rows

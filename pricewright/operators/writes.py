@@ -253,6 +253,36 @@ def refresh_canonicals(canonicals: DataFrame, membership: DataFrame) -> DataFram
     return rows.select(*[new[c].cast(canonicals.schema[c].dataType).alias(c) if c in new else F.col(c) for c in canonicals.columns])
 
 
+def bulk_upsert(canonicals: DataFrame, products: DataFrame, groupings: DataFrame, at) -> dict[str, DataFrame]:
+    """A batch of groupings (canonical_key, facts, members, seq) taken in whole: canonicals made or updated, members assigned, counts refreshed.
+
+    Returns the new ``canonicals`` and ``products``, the ``rejected`` groupings with their errors, what came of each member
+    (``outcomes``), and ``counts`` (one row). A key that comes twice is one canonical with the last facts and the last
+    image that is there; its members are proposals of both. Members keep the order of groupings, then of their list.
+    """
+    from ..plans.canonical import membership
+
+    checked = cut(groupings.withColumn("errors", grouping_errors()))
+    good = checked.where(F.size("errors") == 0).drop("errors")
+    facts = [c for c in good.columns if c not in ("canonical_key", "members", "image_url")]
+    image = [F.max_by("image_url", F.when(F.col("image_url").isNotNull(), F.col("seq"))).alias("image_url")] if "image_url" in good.columns else []
+    once = good.groupBy("canonical_key").agg(F.max_by(F.struct(*facts), "seq").alias("f"), F.min("seq").alias("first"), *image)
+    once = once.select("canonical_key", *[F.col("first").alias("seq") if c == "seq" else F.col(f"f.{c}").alias(c) for c in facts], *(["image_url"] if image else []))
+    upserted = cut(upsert_canonicals(canonicals, once))
+    ids = upserted.select("canonical_key", F.col("id").alias("canonical_id"))
+    members = good.select("canonical_key", "seq", F.posexplode("members").alias("nth", "m")).join(ids, "canonical_key")
+    proposals = members.select("m.product_id", "canonical_id", "m.confidence", F.col("m.match_method").alias("method"), (F.col("seq") * 1000 + F.col("nth")).alias("seq"))
+    outcomes = arbitrate(products, cut(proposals))
+    assigned = assign(products, outcomes, at)
+    count = lambda name: F.count_if(F.col("outcome") == name)
+    upserts = upserted.agg(count("created").alias("created"), count("updated").alias("updated"))
+    results = outcomes.agg(count("assigned").alias("products_assigned"), count("duplicate_brand_skipped").alias("duplicate_brand_skipped"), count("unknown_product").alias("errors"))
+    return {
+        "canonicals": refresh_canonicals(upserted.drop("outcome"), membership(assigned)), "products": assigned, "rejected": checked.where(F.size("errors") > 0),
+        "outcomes": outcomes, "counts": upserts.join(results),
+    }
+
+
 def start_run_errors(brands: DataFrame, requests: DataFrame) -> DataFrame:
     """Requests (slug, ...) with what keeps the run from starting; null if nothing does."""
     rows = requests.join(brands.select("slug", "active"), "slug", "left")

@@ -223,3 +223,30 @@ select * from (values (0, 'a,b', null::varchar, 100::double, null::boolean, null
   t(n, brand, category, min_discount, has_discount, q, sort, dir, page)""")
 def request_parameters(spark, sf_dir):
     return requests(spark).withColumn("min_discount", F.col("min_discount").cast("double"))
+
+
+@query("select p_partkey as id, case p_partkey % 3 when 0 then 'pgae, zz' when 1 then '' else 'limit' end as unknown from part")
+def unknown_parameters(spark, sf_dir):
+    given = F.when(F.col("id") % 3 == 0, F.create_map(F.lit("zz"), F.lit(1), F.lit("page"), F.lit(2), F.lit("pgae"), F.lit(3))).when(F.col("id") % 3 == 2, F.create_map(F.lit("limit"), F.lit(1)))
+    return _named(spark, sf_dir, "p_name").select("id", F.array_join(core.unknown_keys(given, ("page", "q")), ", ").alias("unknown"))
+
+
+@query("""
+select p.id from v_products p where exists (
+  select 1 from v_products w where w.id % 50 = 0 and w.manufacturer_brand is not distinct from p.manufacturer_brand and w.category_normalised is not distinct from p.category_normalised
+    and w.size_value is not distinct from p.size_value and w.size_unit is not distinct from p.size_unit and w.pack_count is not distinct from p.pack_count)""")
+def products_of_families(spark, sf_dir):
+    p = star_views(spark, sf_dir).products
+    return core.in_tuples(p, p.where("id % 50 = 0"), families.FAMILY).select("id")
+
+
+@query("select n, case when n < 1 then 'no items' when n > 500 then 'more than 500 items' end as error from (select p_partkey as id, p_partkey % 700 as n from part)")
+def batch_sizes(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select((F.col("p_partkey") % 700).alias("n")).select("n", core.batch_errors(F.col("n")).alias("error"))
+
+
+@query("select distinct p.category from v_products p join v_brands b on b.id = p.brand_id where b.active and category is not null and category <> ''")
+def categories_remembered(spark, sf_dir):
+    kept = core.Remembered(lambda: offers.categories(star_views(spark, sf_dir)))
+    first, second = kept.get(), kept.get()
+    return spark.createDataFrame(second if first is second else [], "category string")

@@ -217,3 +217,26 @@ def promotion_families(spark, sf_dir):
 @query("select 'Grocery Buy X get Y free' as types, 2 * count(*) filter (where p_size % 3 = 1) as products from part union all select '', 2 * count(*) filter (where p_size % 3 <> 1) from part")
 def promotion_sets(spark, sf_dir):
     return chains.ab_promotion_sets(crawled_bodies(spark, sf_dir, "ab"))
+
+
+@query("select 2 * count(*) as products, cast(ceil(2 * count(*) / 50.0) as bigint) as pages, 2 * count(*) filter (where p_size % 3 < 2) as offers from part")
+def response_dump(spark, sf_dir):
+    """The pages of both crawls as one response, which the chain's source reads as it reads them."""
+    whole = chains.ab_dump(crawled_bodies(spark, sf_dir, "ab")).withColumn("scraped_at", F.lit("2026-05-03").cast("timestamp"))
+    counts = whole.select(F.get_json_object("body", "$.data.productList.pagination.totalResults").cast("long").alias("products"), F.get_json_object("body", "$.data.productList.pagination.totalPages").cast("long").alias("pages"))
+    return counts.join(chains.ab(whole).agg(F.count("*").alias("offers")))
+
+
+@query("""
+with g as (select count(*) / 5 as n, count(*) filter (where p_partkey % 50 = 49) as gone from part)
+select (2 * n)::bigint as created, 0::bigint as updated, (4 * n)::bigint - gone as products_assigned, n::bigint as duplicate_brand_skipped, gone as errors, (2 * n)::bigint as canonicals, (4 * n)::bigint - gone as members from g""")
+def bulk_upsert_result(spark, sf_dir):
+    """The payload of the resolution pushed where there is nothing yet; two of a group's products are of one chain, and some products aren't there."""
+    payload = _resolved(spark, sf_dir)["payload"]
+    seq = F.array_min(F.transform("members", lambda m: m["product_id"]))
+    groupings = payload.select("canonical_key", "manufacturer_brand", "variant_descriptor", "display_name", "category", "members", seq.alias("seq"))
+    none = "id long, canonical_key string, manufacturer_brand string, variant_descriptor string, display_name string, category string, image_url string, members_count int, brands_count int"
+    products = _named(spark, sf_dir, LISTED).where("id % 50 <> 49").withColumns({"brand_id": F.col("id") % 5 % 3, "image_url": F.lit(""), "canonical_product_id": F.lit(None).cast("long")})
+    products = products.withColumns({"canonical_match_confidence": F.lit(None).cast("decimal(4,3)"), "canonical_match_method": F.lit(None).cast("string"), "canonical_matched_at": F.lit(None).cast("timestamp")})
+    got = writes.bulk_upsert(spark.createDataFrame([], none), products, groupings, "2026-05-01")
+    return got["counts"].join(got["canonicals"].agg(F.count("*").alias("canonicals"), F.sum("members_count").cast("long").alias("members")))

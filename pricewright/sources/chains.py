@@ -164,6 +164,20 @@ def ab(bodies: DataFrame) -> DataFrame:
     return _items(rows.where("price is not null and name is not null"), ("position", "family"))
 
 
+def ab_dump(bodies: DataFrame, page_size: int = 50) -> DataFrame:
+    """One response (``body``) that lists the products of all pages as they came, by the time of the crawl and place; for tests of a parser.
+
+    It is a file for people, so it is gathered into one row: only for the pages of one chain.
+    """
+    raw = F.from_json("body", "struct<data:struct<productList:struct<products:array<variant>>>>")["data"]["productList"]["products"]
+    rows = bodies.select("scraped_at", F.xxhash64("body").alias("page"), F.posexplode(raw).alias("position", "p"))
+    listed = rows.select(F.struct("scraped_at", "page", "position", F.to_json("p").alias("p")).alias("x"))
+    got = listed.agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["p"]), ",").alias("products"), F.count("*").alias("n"))
+    pages = F.greatest(F.ceil(F.col("n") / page_size), F.lit(1))
+    tail = F.concat(F.lit('],"pagination":{"totalPages":'), pages.cast("string"), F.lit(',"totalResults":'), F.col("n").cast("string"), F.lit(f',"pageSize":{page_size},"currentPage":0}}}}}}}}'))
+    return got.select(F.concat(F.lit('{"data":{"productList":{"products":['), F.coalesce("products", F.lit("")), tail).alias("body"))
+
+
 def ab_families(bodies: DataFrame) -> DataFrame:
     """How many products each class of promotion has, those that aren't offers included."""
     return ab_products(bodies).groupBy("family").agg(F.count("*").alias("products"))

@@ -124,3 +124,22 @@ def test_empty_tables(shop):
     assert offers.feed(none, valid_on=DAY).count() == 0
     assert families.families(none, valid_on=DAY).count() == 0
     assert canonical.canonicals(none).count() == 0
+
+
+def test_links_of_pages_and_remembered_rows(spark):
+    found = {"total": 120, "last_page": 3, "current_page": 2, "per_page": 50}
+    got = core.page_links("/offers", found, {"q": "a b", "brand": None})
+    assert got == {"self": "/offers?q=a+b&page=2", "first": "/offers?q=a+b&page=1", "last": "/offers?q=a+b&page=3", "prev": "/offers?q=a+b&page=1", "next": "/offers?q=a+b&page=3"}
+    assert core.page_links("/x", found | {"current_page": 3})["next"] is None
+    now, made = [0.0], []
+
+    def make():
+        made.append(1)
+        return spark.range(len(made))
+
+    kept = core.Remembered(make, seconds=10, clock=lambda: now[0])
+    assert len(kept.get()) == 1 and len(kept.get()) == 1
+    now[0] = 10.0
+    assert len(kept.get()) == 2 and len(made) == 2
+    with pytest.raises(ValueError):
+        core.Remembered(lambda: spark.range(5), most=4).get()

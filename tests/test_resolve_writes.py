@@ -202,6 +202,22 @@ def test_canonical_upsert_and_refresh(spark):
     assert after == {1: (5, "A"), 2: (0, "B")}
 
 
+def test_bulk_upsert(spark):
+    canonicals = spark.createDataFrame([(1, "k1", "A", None, 9, 9)], "id long, canonical_key string, display_name string, image_url string, members_count int, brands_count int")
+    products = spark.createDataFrame([(i, b, f"n{i}", "", None, None, None, None) for i, b in ((1, 1), (2, 1), (3, 2))], "id long, brand_id long, name string, image_url string, canonical_product_id long, canonical_match_confidence decimal(4,3), canonical_match_method string, canonical_matched_at timestamp")
+    member = lambda i, c, m="rule": (i, Decimal(c), m)
+    rows = [
+        ("k1", "A", None, [member(1, "0.900"), member(2, "0.950")], 1), ("k2", "B", "x", [member(2, "0.500"), member(99, "0.500")], 2), ("k2", "B2", None, [member(3, "0.900")], 3), ("k3", "C", None, [], 4), ("k4", "D", None, [member(1, "0.100")], 5), ("k5", "E", None, [member(1, "0.900")], 6),
+    ]
+    groupings = spark.createDataFrame(rows, "canonical_key string, display_name string, image_url string, members array<struct<product_id:long,confidence:decimal(4,3),match_method:string>>, seq long")
+    got = writes.bulk_upsert(canonicals, products, groupings, "2026-05-01")
+    assert got["counts"].collect()[0].asDict() == {"created": 3, "updated": 0, "products_assigned": 4, "duplicate_brand_skipped": 1, "errors": 1}
+    assert [r["canonical_key"] for r in got["rejected"].collect()] == ["k3"]
+    ids = {r["canonical_key"]: r for r in got["canonicals"].collect()}
+    assert ids["k2"]["display_name"] == "B2" and ids["k2"]["image_url"] == "x" and [ids[k]["members_count"] for k in ("k1", "k2", "k4", "k5")] == [0, 2, 0, 1]
+    assert {r["id"]: r["canonical_product_id"] for r in got["products"].collect()} == {1: ids["k5"]["id"], 2: ids["k2"]["id"], 3: ids["k2"]["id"]}
+
+
 def test_runs(spark):
     runs = spark.createDataFrame([(1, "running", None, 0, 0), (2, "success", None, 3, 3), (3, "running", None, 0, 0)], "id long, status string, finished_at timestamp, offers_found int, offers_persisted int")
     updates = spark.createDataFrame([(1, "success", 5, None), (2, "failed", 1, 1), (3, "success", 1, 9)], "id long, status string, offers_found int, offers_persisted int")
