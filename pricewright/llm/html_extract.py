@@ -51,11 +51,12 @@ MARKUP = re.compile(
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 LABEL = re.compile(r'data-y="([01])"')
 WORD = re.compile(r"[a-z]+")
+PARTS = frozenset("nav header footer aside form".split())
 #: Words that tell what short texts are about.
 TELLING = frozenset(
-    "about account ad add advert advertisement advertising all also archive archives back blog browse cart categories category checkout close comment comments contact cookie cookies copyright customer email facebook faq feed follow forgot forum help home "
-    "impressum inc instagram join latest legal like linkedin log login logout ltd mail menu more my navigation news newsletter next notice page pages password policy popular post posts powered previous print privacy products published recent recommended register related "
-    "replies reply reserved rights rss search settings share shop sign signup sitemap skip sponsored stories story subscribe support tag tagged tags terms toggle top topics trending twitter username website welcome you your".split()
+    "about account ad add advert advertisement advertising archive archives blog browse cart categories category checkout comment comments contact cookie cookies copyright customer email facebook faq forgot forum help home "
+    "impressum inc instagram legal linkedin log login logout ltd mail menu navigation news newsletter notice password policy popular posted powered privacy published recent recommended register related "
+    "replies reply reserved rights rss search settings share shop sign signup sitemap skip sponsored subscribe tag tagged tags terms toggle topics trending twitter username website welcome".split()
 )
 #: Own texts of more characters than this aren't looked at for telling words.
 SHORT = 160
@@ -216,6 +217,8 @@ class Page:
                 alike[p, self.tag[i]] = alike.get((p, self.tag[i]), 0) + 1
         total = size[0] or 1
         region = "article" if "article" in self.tag else "main" if "main" in self.tag else "none"
+        # A page without links, names and tags of parts is text alone, as far as one can see.
+        bare = not (linked[0] or region != "none" or any(self.names) or PARTS.intersection(self.tag))
         out, kept = [], [i for i in range(n) if size[i] or not i]
         for i in kept:
             own, all_, tag, p = self.text[i], size[i], self.tag[i], max(self.parent[i], 0)
@@ -225,7 +228,7 @@ class Page:
             place = "first" if all_ and not self.before[i] else "last" if all_ and after <= 0 else str(4 * self.before[i] // total)
             one = [
                 "bias", f"tag {tag}", f"own {own.bit_length() // 2}", f"all {all_.bit_length()}", f"links {share}", f"in {self.tag[p]} {tag}", f"headed {headed[i]} {tag}", f"part {part}", f"whole {all_ == total} {tag}", f"holds {own > 0} {tag}", f"mine {4 * own // total} {tag}",
-                f"place {place}", f"place {place} {tag}", f"region {region} {tag}", f"alike {min(3, alike.get((p, tag), 0))} {tag}", f"{tag} {all_.bit_length() // 2} {share}",
+                f"place {place} {bare}", f"place {place} {bare} {tag}", f"region {region} {bare} {tag}", f"alike {min(3, alike.get((p, tag), 0))} {tag}", f"{tag} {all_.bit_length() // 2} {share}",
                 f"stop {self.stops.get(i)} {min(own.bit_length(), 7)}", *(f"name {w}" for w in self.names[i]),
             ]
             if 0 < own <= SHORT and i in self.short:
@@ -233,6 +236,7 @@ class Page:
                 one += [f"word {w}" for w in told]
                 if told:
                     one.append(f"telling {min(3, len(told))} {min(own.bit_length(), 8)}")
+                    one.append(f"telling {bare} {region} {tag}")
                 if "©" in self.short[i]:
                     one.append("word copyright")
             out.append(one)

@@ -41,25 +41,25 @@ TAGS = {"nav": "nav", "header": "header", "footer": "footer", "aside": "aside",
 class Pages:
     def __init__(self, seed: int = 7):
         self.r = random.Random(seed)
-        self.style = "class"
+        self.style, self.plain = "class", False
 
     def word(self) -> str:
         return "".join(self.r.choices(SYLLABLES, k=self.r.randint(1, 4)))
 
     def words(self, lo: int, hi: int) -> str:
         r = self.r
-        text = [" ".join(self.word() for _ in range(r.randint(2, 14))).capitalize() + r.choice(".....?!") for _ in range(r.randint(1, 6))]
+        text = [" ".join(self.word() for _ in range(r.randint(2, 14))).capitalize() + r.choice(".....?!") for _ in range(max(r.randint(1, 6), hi // 12 if hi > 120 else 0))]
         return " ".join(" ".join(text).split()[: r.randint(lo, hi)])
 
     def title(self) -> str:
         return " ".join(self.word() for _ in range(self.r.randint(1, 9))).capitalize()
 
     def prose(self, longest: int) -> str:
-        """Sentences; now and then with a word that boilerplate uses too."""
-        text = self.words(1, longest).rstrip(".?!").split()
+        """Sentences; now and then with a word that boilerplate uses too. A page of plain style has a few words without a mark."""
+        text = self.words(1, min(longest, 8) if self.plain else longest).rstrip(".?!").split()
         if self.r.random() < 0.15:
             text.insert(self.r.randrange(len(text) + 1), self.r.choice("home news search share post top terms help contact products you your all more comment about like page story shop support follow back".split()))
-        return " ".join(text) + self.r.choice([".", ".", ".", ".", "!", "?", "", ":"])
+        return " ".join(text) + self.r.choice(["", "", "", "."] if self.plain else [".", ".", ".", ".", "!", "?", "", ":"])
 
     def phrase(self, kind: str) -> str:
         return self.r.choice(PHRASES[kind]).replace("{}", self.words(1, 4).rstrip(".?!"), 1).replace("{}", self.word())
@@ -99,7 +99,7 @@ class Pages:
         elif kind == "form":
             inner = e("label", 0, say()) + "<input>" + r.choice(["", e("p", 0, self.words(4, 20)), say()]) + e("button", 0, say())
         elif kind == "comments":
-            item = lambda: e(r.choice(["div", "div", "li", "li", "article", "p"]), 0, r.choice([e("p", 0, self.words(3, 60)) * r.randint(1, 2), self.words(3, 40), e("b", 0, self.word()) + " " + self.words(4, 40), f"{self.word()} says: " + self.words(4, 30)]), r.choice(["comment", "reply", "comment-body"]))
+            item = lambda: e(r.choice(["div", "div", "li", "li", "article", "p"]), 0, r.choice([e("p", 0, self.words(3, r.choice([60, 60, 300]))) * r.randint(1, 2), self.words(3, 40), e("b", 0, self.word()) + " " + self.words(4, 40), f"{self.word()} says: " + self.words(4, 30)]), r.choice(["comment", "reply", "comment-body"]))
             inner = say() if flat else r.choice([e("h3", 0, say()), e("h2", 0, say()), e("h4", 0, say())]) + "".join(item() for _ in range(r.randint(1, 5)))
         else:
             inner = say() if flat else r.choice([say(), self.words(3, much), e("p", 0, say()), e("p", 0, self.words(3, much)), e("span", 0, say()) + self.links(0, 2, kind), e("b", 0, say()) + " " + self.words(3, 12)])
@@ -112,7 +112,7 @@ class Pages:
         if r.random() < 0.7:
             head = e(r.choice(["h1", "h1", "h2"]), 1, self.title())
             parts.append(e("header", 1, head + r.choice(["", e("p", 1, self.prose(20))])) if self.style != "none" and r.random() < 0.1 else head)
-        longest = r.choice([20, 60, 120, 120])
+        longest = r.choice([20, 60, 120, 120, 400])
         for _ in range(r.choice([1, 1, 2, 3, 4, 5, 8, 12])):
             kind = r.random()
             if kind < 0.74:
@@ -179,7 +179,7 @@ class Pages:
     def page(self) -> str:
         r, e = self.r, self.el
         self.style = r.choices(["class", "tag", "none"], [4, 3, 3])[0]
-        much = r.choice([0, 0.2, 0.5, 0.5])
+        much, self.plain = r.choice([0, 0.2, 0.5, 0.5]), r.random() < 0.15
         main, loose = self.article()
         before = [self.boiler(k) for k in ("header", "nav", "ad", "notice", "form") if r.random() < much]
         after = [self.boiler(k) for k in ("comments", "aside", "share", "form", "ad", "footer") if r.random() < much]
