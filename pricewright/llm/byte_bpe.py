@@ -32,6 +32,8 @@ CACHE_WORDS = 300_000
 SLICE_BYTES = 4_000_000
 #: Rows that a recursive query may go through, and contractions of a word in one query.
 QUERY_ROWS, DEPTH = 3_000_000, 48
+#: Ids that are decoded by one query.
+DECODED = 500_000
 #: Bytes of a piece. Words of at most twice as many aren't cut.
 PIECE = 32
 #: Tokens beside a seam that are contracted anew, one round after the other; then bytes of a window that moves along the word.
@@ -304,10 +306,16 @@ class DuckBpe:
 
     def decode_words(self, word: np.ndarray, ids: np.ndarray) -> pa.Array:
         """The bytes of each word's ids, in order of the words; every word has an id."""
-        self.con.register("ids", pa.table({"word": word, "pos": np.arange(len(ids)), "id": ids.astype(np.int32)}))
-        out = self.con.sql(DECODE).to_arrow_table().column("raw").cast(pa.large_binary())
-        self.con.unregister("ids")
-        return pa.concat_arrays(out.chunks)
+        ends = np.append(np.flatnonzero(np.diff(word)) + 1, len(word))
+        out, at = [pa.array([], pa.large_binary())], 0
+        while at < len(word):
+            # Words of about so many ids at once, one at least.
+            to = int(ends[max(np.searchsorted(ends, at + DECODED, side="right") - 1, np.searchsorted(ends, at, side="right"))])
+            self.con.register("ids", pa.table({"word": word[at:to], "pos": np.arange(to - at), "id": ids[at:to].astype(np.int32)}))
+            out += self.con.sql(DECODE).to_arrow_table().column("raw").cast(pa.large_binary()).chunks
+            self.con.unregister("ids")
+            at = to
+        return pa.concat_arrays(out)
 
     def learn(self, words: pa.Array) -> None:
         """Of each new word its number of ids, the ids as text, and the bytes they decode to."""

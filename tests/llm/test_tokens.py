@@ -281,6 +281,15 @@ def test_byte_bpe_seams(bpe_module, parts, times):
     assert own.encode_texts(pa.array([text]))[1][0].as_py() == ",".join(map(str, library.encode_ordinary(text)))
 
 
+def test_byte_bpe_text_of_many_words(bpe, monkeypatch):
+    """A text of 300,000 distinct words, decoded in many queries."""
+    _, own, library = bpe
+    text = " ".join(f"w{i * 7919 % 1_000_003:x}" for i in range(300_000)) + " " + "k" * 2000
+    monkeypatch.setattr(byte_bpe, "DECODED", 50_000)
+    n, names, raws = own.encode_texts(pa.array([text, None, "a b"]))
+    assert names[0].as_py() == ",".join(map(str, library.encode_ordinary(text))) and raws.to_pylist() == [text.encode(), b"", b"a b"] and n[1] == 0
+
+
 def test_byte_bpe_forgets(bpe, monkeypatch):
     """Words that came up again stay known when there are too many; ids don't depend on it."""
     _, own, library = bpe
