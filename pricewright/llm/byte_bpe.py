@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from itertools import repeat
 
 import numpy as np
@@ -389,10 +390,30 @@ class DuckBpe:
         return sums[ends[1:]] - sums[ends[:-1]], _join(ends, self.names.take(pa.array(rows)), ","), _join(ends, self.raws.take(pa.array(rows)), b"")
 
 
+    def encode_long(self, text: str | None) -> tuple[np.ndarray, pa.Array, pa.Array]:
+        """As ``encode_texts`` of one text, a portion at a time, so that the words known meanwhile stay few."""
+        parts = [self.encode_texts(pa.array([p], pa.large_string())) for p in portions(text or "")]
+        names = ",".join([x for _, names, _ in parts if (x := names[0].as_py())])
+        return np.array([sum(int(n[0]) for n, _, _ in parts)]), pa.array([names], pa.large_string()), pa.array([b"".join([raws[0].as_py() for _, _, raws in parts])], pa.large_binary())
+
+
 #: Stands before a space where a text is cut; and what keeps a text whole: the mark itself, or white space beside a space or at the start or end.
 CUT = "\x01"
 ODD_SPACE = r"\x01|^ | $| [\s\x0b\x1c-\x1f\x85\p{Z}]|[\s\x0b\x1c-\x1f\x85\p{Z}] "
 
+#: Where a long text may be cut without a change of its pre-tokens: before a lone space between two word characters.
+CUTTABLE = re.compile(r"(?<=\w) (?=\w)")
+
+
+def portions(text: str, size: int = SLICE_BYTES) -> list[str]:
+    """The text in portions of about so many characters, as far as it can be cut."""
+    out, at = [], 0
+    while len(text) - at > size and (m := CUTTABLE.search(text, at + size)):
+        out.append(text[at : m.start()])
+        at = m.start()
+    return [*out, text[at:]]
+
+
 _known: dict[int, DuckBpe] = {}
 
 
@@ -417,7 +438,7 @@ def encode_documents(docs: DataFrame, vocabulary: bytes, pattern: str, keep_ids:
         bpe = coder(*book.value)
         for batch in batches:
             for s in slices(batch, "text", SLICE_BYTES):
-                n, names, raws = bpe.encode_texts(s.column("text"))
+                n, names, raws = bpe.encode_texts(s.column("text")) if s.num_rows > 1 or s.nbytes <= 2 * SLICE_BYTES else bpe.encode_long(s.column("text")[0].as_py())
                 cols = {
                     "doc_id": s.column("doc_id").cast(pa.int64()),
                     "n_tokens": pa.array(n, pa.int64()),

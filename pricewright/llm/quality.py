@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, kth_largest, table
-from .shingles import BASE, mix, ngrams, text_bytes, word_hashes
+from .shingles import BASE, in_portions, mix, ngrams, text_bytes, word_hashes
 from .words import slices
 
 #: Bytes of texts that are worked on at once; a longer text is worked on alone.
@@ -64,8 +64,11 @@ SHAPE = _shape_classes()
 
 
 def shape_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each word's shape, runs of a class counted once."""
-    raw, at = text_bytes(texts, lower=False)
+    """(a hash of each word's shape, runs of a class counted once, and number of words of each text)."""
+    return in_portions(*text_bytes(texts, lower=False), SHAPE == 0, _hash_shapes)
+
+
+def _hash_shapes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     kind = SHAPE[raw]
     fresh = np.ones(len(kind), bool)
     fresh[1:] = kind[1:] != kind[:-1]

@@ -49,13 +49,38 @@ def text_bytes(texts: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
+#: Bytes that are worked on at once; a portion ends where no word goes on.
+PORTION = 2_000_000
+
+
+def in_portions(raw: np.ndarray, at: np.ndarray, apart: np.ndarray, work) -> tuple[np.ndarray, np.ndarray]:
+    """``work(raw, at)``, which gives values of words and their number by text, over portions cut at bytes that are ``apart``."""
+    if len(raw) <= 2 * PORTION:
+        return work(raw, at)
+    out, counts, a = [], np.zeros(len(at) - 1, np.int64), 0
+    while a < len(raw):
+        b = min(a + PORTION, len(raw))
+        while b < len(raw) and not (found := apart[raw[b : b + 65_536]]).any():
+            b = min(b + 65_536, len(raw))
+        b += int(found.argmax()) if b < len(raw) else 0
+        values, n = work(raw[a:b], np.clip(at, a, b) - a)
+        out.append(values)
+        counts += n
+        a = b
+    return np.concatenate(out), counts
+
+
 def word_hashes(texts: pa.Array, lower: bool = True, plain: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, number of words of each text).
 
     ``plain``: words are runs of letters and digits, so marks don't count; else runs of anything but ASCII white space.
     """
-    raw, at = text_bytes(texts, lower)
-    inside = WORD_BYTE[raw] if plain else ~SPACE_BYTE[raw]
+    apart = ~WORD_BYTE if plain else SPACE_BYTE
+    return in_portions(*text_bytes(texts, lower), apart, lambda raw, at: _hash_words(raw, at, apart))
+
+
+def _hash_words(raw: np.ndarray, at: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    inside = ~apart[raw]
     edge = np.zeros(len(raw), bool)
     edge[at[:-1][at[:-1] < len(raw)]] = True
     before = np.concatenate([[False], inside[:-1]]) if len(raw) else inside

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pricewright.llm import html_extract, pii, quality, url_filter
+from pricewright.llm import html_extract, pii, quality, shingles, url_filter
 from pricewright.llm.common import kth_largest
 from pricewright.llm.html_pages import labelled_pages
 
@@ -378,3 +378,15 @@ def test_shape_hashes_see_marks(text):
     assert n[0] == n[1] == n[2] == len(text.split())
     if text:
         assert len({tuple(x.tolist()) for x in np.split(a, np.cumsum(n)[:-1])}) == 3
+
+
+def test_words_and_shapes_in_portions(monkeypatch):
+    """Texts that are worked on in portions give what they give whole."""
+    rng = np.random.default_rng(3)
+    letters = np.array(list("aB1 .é\n-"))
+    texts = ["".join(rng.choice(letters, int(n))) for n in rng.integers(0, 400, 30)] + ["x" * 700, "", " ", None, "a b " * 100]
+    whole = [(shingles.word_hashes(pa.array(texts), lower=low, plain=low), quality.shape_hashes(pa.array(texts))) for low in (True, False)]
+    monkeypatch.setattr(shingles, "PORTION", 50)
+    for low, (words, shapes) in zip((True, False), whole, strict=True):
+        for old, new in ((words, shingles.word_hashes(pa.array(texts), lower=low, plain=low)), (shapes, quality.shape_hashes(pa.array(texts)))):
+            assert (old[0] == new[0]).all() and (old[1] == new[1]).all()

@@ -290,6 +290,26 @@ def test_byte_bpe_text_of_many_words(bpe, monkeypatch):
     assert names[0].as_py() == ",".join(map(str, library.encode_ordinary(text))) and raws.to_pylist() == [text.encode(), b"", b"a b"] and n[1] == 0
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.text(alphabet="ab  \t\n'é_1.中\u00a0\u0301", max_size=80), st.integers(1, 20))
+def test_byte_bpe_portions(bpe_module, text, size):
+    """Portions of a text have the pre-tokens, and so the ids, of the whole."""
+    _, own, library = bpe_module
+    parts = byte_bpe.portions(text, size)
+    assert "".join(parts) == text and [i for p in parts for i in library.encode_ordinary(p)] == library.encode_ordinary(text)
+
+
+def test_byte_bpe_long_text(bpe, monkeypatch):
+    _, own, library = bpe
+    monkeypatch.setattr(byte_bpe, "CACHE_WORDS", 1000)
+    monkeypatch.setattr(byte_bpe.portions, "__defaults__", (5000,))
+    text = " ".join(f"w{i * 7919 % 1_000_003:x} é {i}" for i in range(20_000)) + "  \n " + "x" * 9000
+    n, names, raws = own.encode_long(text)
+    want = library.encode_ordinary(text)
+    assert names.to_pylist() == [",".join(map(str, want))] and raws.to_pylist() == [text.encode()] and n.tolist() == [len(want)]
+    assert own.encode_long(None)[0].tolist() == [0] and len(own.known) < 6000
+
+
 def test_byte_bpe_forgets(bpe, monkeypatch):
     """Words that came up again stay known when there are too many; ids don't depend on it."""
     _, own, library = bpe
