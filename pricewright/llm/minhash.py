@@ -38,6 +38,8 @@ COUNTED, COLUMNS = 2_000_000, 4096
 HELD_SHINGLES = 4_000_000
 #: Rows of an alignment after which columns behind the band are dropped.
 DROP = 2048
+#: A shingle comes up often from so many times on, and from the length of the text over this number; so few have a number of their own.
+OFTEN, MASKS = 16, 2048
 #: Candidates up to this many are broadcast to the scan of the texts; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -168,7 +170,10 @@ def _banded_lcs(p: np.ndarray, q: np.ndarray, width: int, common: set[int]) -> i
 
     The number holds the columns from ``low`` on, a zero for each that is matched so far. Columns that the band has
     left behind are counted and dropped, so it is about as long as the band is wide, however long the texts are.
+    Columns of a shingle that comes up often, as in a text that repeats itself, are the bits of a number too, to which
+    those that the band reaches are added; so a row costs a few operations on numbers of the band's width.
     """
+    often, masks = max(OFTEN, len(q) // MASKS), {}
     where: dict[int, list[int]] = {}
     for j, c in enumerate(q.tolist()):
         if c in common:
@@ -187,12 +192,22 @@ def _banded_lcs(p: np.ndarray, q: np.ndarray, width: int, common: set[int]) -> i
                 columns += more
         at = where.get(c)
         if at:
-            if len(at) > 1:
-                at = at[bisect_left(at, i - width) : bisect_right(at, i + width)]
             hits = 0
-            for j in at:
-                if -width <= j - i <= width:
-                    hits |= 1 << (j - low)
+            if len(at) > often:
+                known, since, upto = masks.get(c) or (0, low, bisect_left(at, low))
+                known >>= low - since
+                to = bisect_right(at, i + width, upto)
+                for j in at[upto:to]:
+                    known |= 1 << (j - low)
+                masks[c] = known, low, to
+                behind = max(0, i - width - low)
+                hits = known >> behind << behind
+            else:
+                if len(at) > 1:
+                    at = at[bisect_left(at, i - width) : bisect_right(at, i + width)]
+                for j in at:
+                    if -width <= j - i <= width:
+                        hits |= 1 << (j - low)
             u = row & hits
             if u:
                 row = ((row + u) | (row - u)) & ((1 << columns) - 1)

@@ -71,6 +71,25 @@ def test_long_alignment(monkeypatch):
     assert minhash.aligned(a, b) == pytest.approx(len(b) / len(a))
 
 
+def test_alignment_of_texts_that_repeat_themselves(monkeypatch):
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(minhash, "DROP", 16)
+    monkeypatch.setattr(minhash, "OFTEN", 3)
+    for period in (1, 2, 5, 30):
+        for _ in range(6):
+            a = np.tile(rng.integers(0, 50, period), 600 // period).astype(np.uint64)
+            b = np.delete(np.insert(a, rng.integers(0, len(a), 20), rng.integers(0, 60, 20).astype(np.uint64)), rng.integers(0, len(a), 30))[int(rng.integers(0, 9)) :]
+            m = longest(a.tolist(), b.tolist())
+            assert minhash.aligned(a, b) == pytest.approx(m / (len(a) + len(b) - m))
+    monkeypatch.undo()
+    import time
+
+    a = np.tile(rng.integers(0, 1 << 60, 7).astype(np.uint64), 20_000)
+    b = np.concatenate([a[3:], rng.integers(0, 1 << 60, 500).astype(np.uint64)])
+    start = time.process_time()
+    assert minhash.aligned(a, b) == pytest.approx((len(a) - 3) / (len(b) + 3), abs=1e-3) and time.process_time() - start < 20
+
+
 def similarity(a, b):
     x, y = (minhash.shingle_sequence(word_hashes(pa.array([t]))[0]).tolist() for t in (a, b))
     if a == b:
