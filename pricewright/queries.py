@@ -530,7 +530,7 @@ with g as (select p_partkey // 5 as g, p_partkey // 5 + 1 as size, case p_partke
 rows as (
   select maker || ':dark-extra-milk:' || size || 'g:1' as canonical_key, maker as manufacturer_brand, 'Dark Milk' as variant_descriptor, alias || ' Dark Extra Milk ' || size || 'g' as display_name, 4 as members_count, 4 as brands_count, size from g
   union all select maker || ':white:' || size || 'g:1', maker, 'White', alias || ' White ' || size || 'g', 1, 1, size from g)
-select canonical_key, manufacturer_brand, size::double as size_value, variant_descriptor, display_name, members_count, brands_count, (row_number() over (order by canonical_key) - 1) // 200 as batch from rows""")
+select canonical_key, manufacturer_brand, size::double as size_value, variant_descriptor, display_name, members_count, brands_count::bigint as brands_count, (row_number() over (order by canonical_key) - 1) // 200 as batch from rows""")
 def entity_groups(spark, sf_dir):
     """The whole resolution, from names to batches: features, blocks, rules, components and payloads."""
     names = _named(spark, sf_dir, LISTED)

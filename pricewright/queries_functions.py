@@ -82,16 +82,16 @@ def family_names(spark, sf_dir):
     return families.members(star_views(spark, sf_dir)).select("id", families.family_key().alias("family_key"), families.display_name().alias("display_name"))
 
 
-@query("select p_partkey as id, case when p_partkey % 4 = 0 then null else greatest(p_size, p_partkey % 60) end as pages from part")
+@query("select p_partkey as id, case when p_partkey % 4 = 0 then null else greatest(p_size, p_partkey % 60) end::double as pages from part")
 def total_page_probe(spark, sf_dir):
     html = "case when p_partkey % 4 = 0 then concat('<a>', p_name, '</a>') else concat('<a data-mkey=\"page-', p_size, '\">x</a><b data-mkey=\"page-', p_partkey % 60, '\">') end"
-    return _named(spark, sf_dir, html).select("id", paging.total_pages(F.col("name")).alias("pages"))
+    return _named(spark, sf_dir, html).select("id", paging.total_pages(F.col("name")).cast("double").alias("pages"))
 
 
 @query("""
 with p as (select o_custkey as crawl, o_orderkey as page, (o_orderkey % 50)::int as n from orders),
 stop as (select crawl, min(page) as last from p where n < 25 group by 1)
-select p.crawl, count(*) as pages, sum(n) as rows from p left join stop using (crawl) where last is null or page <= last group by 1""")
+select p.crawl, count(*) as pages, cast(sum(n) as bigint) as rows from p left join stop using (crawl) where last is null or page <= last group by 1""")
 def short_page_stop(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("crawl_id"), F.col("o_orderkey").alias("page"), (F.col("o_orderkey") % 50).alias("rows"))
     return paging.until_short_page(rows, full=25).groupBy(F.col("crawl_id").alias("crawl")).agg(F.count("*").alias("pages"), F.sum("rows").alias("rows"))
@@ -183,7 +183,7 @@ def canonical_list_resource(spark, sf_dir):
   select o.* from v_offers o where o.id in (select max(id) from v_offers group by product_id)
     and (o.valid_from is null or o.valid_from <= date '{DAY}') and (o.valid_to is null or o.valid_to >= date '{DAY}')
 )
-select p.canonical_product_id as id, count(*) as offers, min(cast(o.price as double)) as min_price, max(cast(o.price as double)) as max_price, round(max(cast(o.price as double)) - min(cast(o.price as double)), 2) as price_savings,
+select p.canonical_product_id as id, count(*)::int as offers, min(cast(o.price as double)) as min_price, max(cast(o.price as double)) as max_price, round(max(cast(o.price as double)) - min(cast(o.price as double)), 2) as price_savings,
   arg_min(b.slug, (cast(o.price as double), o.id)) as cheapest_brand
 from now o join v_products p on p.id = o.product_id join v_brands b on b.id = p.brand_id where p.canonical_product_id is not null group by 1""")
 def canonical_detail_resource(spark, sf_dir):
@@ -199,7 +199,7 @@ def canonical_detail_resource(spark, sf_dir):
   from v_products p join v_brands b on b.id = p.brand_id left join latest l on l.product_id = p.id
   where b.active and manufacturer_brand = 'brand#13' and category_normalised = 'economy' and size_value = 5 and size_unit = 'ml' and pack_count = 1)
 select '{KEY}' as family_key, 'Brand#13 Economy 5ml' as display_name, max(category) as category, max(category_normalised) as category_normalised, arg_min(image_url, id) filter (where image_url <> '') as image_url,
-  count(*) as variants_count, count(distinct brand) as brands_count, min(price) as min_price, max(price) as max_price, round(avg(price) + 1e-7, 2) as avg_price, count(distinct variant)::int as variants from fam""")
+  count(*) as variants_count, count(distinct brand) as brands_count, min(price) as min_price, max(price) as max_price, round(avg(price) + 1e-7, 2) as avg_price, count(distinct variant)::int as variants from fam having count(*) > 0""")
 def family_detail_resource(spark, sf_dir):
     row = resources.family_detail(star_views(spark, sf_dir), KEY, DAY)
     return row.select("family_key", "display_name", "category", "category_normalised", "image_url", "variants_count", "brands_count", "min_price", "max_price", "avg_price", F.size("variants").alias("variants"))

@@ -73,7 +73,7 @@ def ingest_result(spark, sf_dir):
     return counts.select("offers_persisted", "products_created", "products_updated", "rejected", "products")
 
 
-@query("select (select max(id) from v_offers) + row_number() over (order by id) as id, id as product_id, 9 as crawl_run_id, 'EUR' as currency from v_products where id % 3 = 0")
+@query("select (select max(id) from v_offers) + row_number() over (order by id) as id, id as product_id, 9::bigint as crawl_run_id, 'EUR' as currency from v_products where id % 3 = 0")
 def appended_offers(spark, sf_dir):
     t = star_views(spark, sf_dir)
     resolved = t.products.where("id % 3 = 0").select(F.col("id").alias("seq"), F.col("id").alias("product_id"), F.lit(1.0).alias("price"))
@@ -96,7 +96,7 @@ def canonical_upserts(spark, sf_dir):
 
 @query(f"""
 , h as ({HAVE}), m as (select canonical_product_id as id, count(*) as n, count(distinct brand_id) as b, arg_min(image_url, id) filter (where image_url <> '') as i from v_products where canonical_product_id is not null group by 1)
-select h.id, coalesce(n, 0) as members_count, coalesce(b, 0) as brands_count, coalesce(h.image_url, i) as image_url from h left join m using (id)""")
+select h.id, coalesce(n, 0)::int as members_count, coalesce(b, 0)::int as brands_count, coalesce(h.image_url, i) as image_url from h left join m using (id)""")
 def refreshed_canonicals(spark, sf_dir):
     from .plans import canonical
 
@@ -120,7 +120,7 @@ def finished_runs(spark, sf_dir):
 
 
 @query("""
-select n_nationkey as id, case when n_nationkey % 3 = 2 then 'unknown brand' when n_nationkey % 5 = 1 then 'brand is not active' end as error from nation""")
+select n_nationkey::bigint as id, case when n_nationkey % 3 = 2 then 'unknown brand' when n_nationkey % 5 = 1 then 'brand is not active' end as error from nation""")
 def started_runs(spark, sf_dir):
     t = star_views(spark, sf_dir)
     asked = t.brands.select("id", F.when(F.col("id") % 3 == 2, F.concat("slug", F.lit("?"))).otherwise(F.col("slug")).alias("slug"))
@@ -164,7 +164,7 @@ def resolution_counters(spark, sf_dir):
 
 
 @query("""
-select case p_partkey // 5 % 2 when 0 then 'lacta' else 'dodoni' end || case when p_partkey % 5 = 4 then ':white:' else ':dark-extra-milk:' end || (p_partkey // 5 + 1) || 'g:1' as canonical_key, p_partkey as product_id, 1.0 as confidence, 'rule' as match_method from part""")
+select case p_partkey // 5 % 2 when 0 then 'lacta' else 'dodoni' end || case when p_partkey % 5 = 4 then ':white:' else ':dark-extra-milk:' end || (p_partkey // 5 + 1) || 'g:1' as canonical_key, p_partkey as product_id, 1.0::double as confidence, 'rule' as match_method from part""")
 def payload_members(spark, sf_dir):
     rows = _resolved(spark, sf_dir)["payload"].select("canonical_key", F.explode("members").alias("m"))
     return rows.select("canonical_key", "m.product_id", F.col("m.confidence").cast("double").alias("confidence"), "m.match_method")
