@@ -84,6 +84,12 @@ def history_extent(rows: DataFrame, key: str = "product_id") -> DataFrame:
     return rows.withColumn("cheapest", F.col("price") == F.col("min_price"))
 
 
+def label_histogram(offers: DataFrame, rows: int = 20) -> DataFrame:
+    """The commonest promotion labels, offers without one too, with their lowest price."""
+    by = offers.groupBy(F.col("promo_label").alias("label")).agg(F.count("*").alias("offers"), F.min(F.col("price").cast("double")).alias("least"))
+    return by.orderBy(F.desc("offers"), F.col("label").asc_nulls_first()).limit(rows)
+
+
 def active_brands(t: Retail) -> DataFrame:
     return t.brands.where("active").select("id", "name", "slug").orderBy("name")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,9 +80,12 @@ def offers_text_search(spark, sf_dir):
     return _days(offers.matching_offers(star_views(spark, sf_dir), valid_on=DAY, q="Economy%Ring").select(*FEED))
 
 
-@query("select id, product_id, price, cast(discount_pct as double) as discount_pct from v_offers where product_id = 7 order by scraped_at desc, id desc limit 200")
+@query("select id, product_id % 5 as product_id, price, cast(discount_pct as double) as discount_pct from v_offers where product_id % 5 = 2 order by scraped_at desc, id desc limit 200")
 def offer_history_200(spark, sf_dir):
-    return _days(offers.history(star_views(spark, sf_dir), 7).drop("scraped_at"))
+    """Five products share all offers, so each has more snapshots than are shown."""
+    t = star_views(spark, sf_dir)
+    t = replace(t, offers=t.offers.withColumn("product_id", F.col("product_id") % 5))
+    return _days(offers.history(t, 2).drop("scraped_at"))
 
 
 @query("select user_id as product_id, arg_max(event_id, (ts, event_id)) as id from events group by 1")
@@ -539,10 +544,9 @@ def entity_groups(spark, sf_dir):
     return rows.select("canonical_key", "manufacturer_brand", "size_value", "variant_descriptor", "display_name", F.size("members").alias("members_count"), "brands_count", "batch")
 
 
-@query("select o.promo_label as label, count(*) as n, cast(sum(cast(o.price as double)) is not null as boolean) as priced from v_offers o group by 1 order by n desc, label nulls first limit 20")
+@query("select promo_label as label, count(*) as offers, min(cast(price as double)) as least from v_offers group by 1 order by offers desc, label nulls first limit 20")
 def promo_label_histogram(spark, sf_dir):
-    o = star_views(spark, sf_dir).offers
-    return o.groupBy(F.col("promo_label").alias("label")).agg(F.count("*").alias("n"), F.sum(F.col("price").cast("double")).isNotNull().alias("priced")).orderBy(F.desc("n"), F.col("label").asc_nulls_first()).limit(20)
+    return offers.label_histogram(star_views(spark, sf_dir).offers)
 
 
 @query("select count(*) as products, count(manufacturer_brand) as with_manufacturer, count(size_value) as with_size, count(*) filter (where pack_count >= 2) as multi_packs, count(canonical_product_id) as with_key from v_products")
@@ -552,11 +556,13 @@ def enrichment_coverage(spark, sf_dir):
 
 
 @query("""
-, k as (select lower(category) || ' ' || cast(size_value as varchar) as key, brand_id, id from v_products)
+with k as (select replace(replace(lower(p_name), 'lt', 'l'), 'gr', 'g') || ' ' || p_size || 'ml' as key, p_partkey % 25 as brand_id from part)
 select key, count(*) as products, count(distinct brand_id) as chains from k group by key having count(distinct brand_id) >= 2 order by chains desc, products desc, key limit 40""")
 def match_key_clusters(spark, sf_dir):
-    p = star_views(spark, sf_dir).products.select(F.concat(F.lower("category"), F.lit(" "), F.col("size_value").cast("string")).alias("key"), F.col("brand_id"))
-    return resolve.key_clusters(p, "key", "brand_id")
+    """Names that differ in letter case, accents and marks share the aggressive key."""
+    written = "concat(case when p_partkey % 2 = 0 then upper(p_name) else p_name end, case when p_partkey % 3 = 0 then ' (' else '  ' end, p_size, case when p_partkey % 3 = 0 then ' ML)' else 'ml!' end)"
+    rows = _named(spark, sf_dir, written).select(text.match_key(F.col("name")).alias("key"), (F.col("id") % 25).alias("brand_id"))
+    return resolve.key_clusters(rows, "key", "brand_id")
 
 
 #: One row a part: its price ``c`` and the price ``o`` before, in cents, and the place on its page.
