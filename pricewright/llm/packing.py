@@ -25,14 +25,20 @@ WIDTH = 4096
 END_ID = 1
 #: A fitted pattern leaves at most this share of a sequence empty.
 WASTE = 1 / 64
+#: As much may a pair leave empty.
+PAIR_WASTE = 1 / 4
 #: Patterns that are enumerated for each length, and sweeps of the fit.
 PER_LENGTH, SWEEPS = 10, 25
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
-def enumerate_patterns(lengths: list[int], width: int, per_length: int = PER_LENGTH) -> list[tuple[int, ...]]:
-    """Patterns of two to four of the given lengths (ascending), each completed by the longest length that still fits."""
+def enumerate_patterns(lengths: list[int], width: int, pairs: bool = False, per_length: int = PER_LENGTH) -> list[tuple[int, ...]]:
+    """Patterns of two to four of the given lengths (ascending), each completed by the longest length that still fits.
+
+    With ``pairs`` a length is also in a pair that leaves up to a quarter empty, so that the fit sees with what it may
+    have to share a sequence when nothing better is left.
+    """
 
     def best(space: int) -> int:
         i = bisect_right(lengths, space)
@@ -41,6 +47,8 @@ def enumerate_patterns(lengths: list[int], width: int, per_length: int = PER_LEN
     found = set()
     steps = [lengths[(len(lengths) - 1) * k // max(1, per_length - 1)] for k in range(per_length)] if lengths else []
     for first in lengths:
+        if pairs and (last := best(width - first)) and first + last >= width * (1 - PAIR_WASTE):
+            found.add((max(first, last), min(first, last)))
         for second in [0, *steps]:
             for third in (0, second):
                 space = width - first - second - third
@@ -75,13 +83,17 @@ def fit_repeats(patterns: list[tuple[int, ...]], counts: dict[int, int], sweeps:
 
 
 def plan(counts: dict[int, int], width: int = WIDTH) -> list[tuple[tuple[int, ...], int]]:
-    """(pattern, repeats) that use every length exactly as often as it occurs."""
+    """(pattern, repeats) that use every length exactly as often as it occurs: of two sets of patterns, rounded to the nearest or down, the fit that takes the fewest sequences."""
+    return min((_fitted(counts, width, pairs, up) for pairs in (False, True) for up in (0.5, 0.0)), key=lambda plan: sum(n for _, n in plan))
+
+
+def _fitted(counts: dict[int, int], width: int, pairs: bool, up: float) -> list[tuple[tuple[int, ...], int]]:
     left = {k: v for k, v in counts.items() if v > 0}
     out = [((width,), left.pop(width))] if width in left else []
-    patterns = enumerate_patterns(sorted(left), width)
+    patterns = enumerate_patterns(sorted(left), width, pairs)
     fitted = fit_repeats(patterns, left)
     for p, x in sorted(zip(patterns, fitted, strict=True), key=lambda t: -t[1]):
-        if n := min(int(x + 0.5), *(left[k] // p.count(k) for k in p)):
+        if n := min(int(x + up), *(left[k] // p.count(k) for k in p)):
             out.append((p, n))
             for k in p:
                 left[k] -= n
