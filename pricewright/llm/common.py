@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
-#: Rows that Spark hands a Python worker at once, where the session doesn't say: texts are long, and both sides hold a batch whole.
-BATCH_ROWS, BATCH_SETTING = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows and bytes that Spark hands a Python worker at once (Spark's own, ours), where the session doesn't say: texts are long, and both sides hold a batch whole.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m")}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -55,8 +55,9 @@ class Scratch:
 
 def on_executors(spark: SparkSession) -> None:
     """Lets Python workers started from here import this package, whatever folder the driver was started in, and bounds their batches."""
-    if spark.conf.get(BATCH_SETTING, None) in (None, "10000"):
-        spark.conf.set(BATCH_SETTING, BATCH_ROWS)
+    for setting, (default, ours) in BATCHES.items():
+        if spark.conf.get(setting, None) in (None, default):
+            spark.conf.set(setting, ours)
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):

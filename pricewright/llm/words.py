@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct pieces that a worker keeps; past this it starts over, so its memory stays bounded.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 250_000
 #: Characters of text that are split at once.
 SLICE_CHARS = 2_000_000
 LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", ".,;:!?#$%&*|"
@@ -112,6 +112,11 @@ def encoder(vocabulary: bytes) -> ChunkEncoder:
     return _encoders[key]
 
 
+def forget_encoder() -> None:
+    """Gives a worker's encoder back, for work that needs its memory for something else."""
+    _encoders.clear()
+
+
 def slices(batch: pa.RecordBatch, column: str, chars: int = SLICE_CHARS):
     """The batch in runs of rows of about so many characters; a longer text is a run of its own."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
