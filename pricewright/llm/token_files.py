@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, read_local, table
-from .words import encoder, slices
+from .words import encoder, forget_encoder, slices
 
 MAGIC = b"PFOR1\0\0\0"
 BLOCK = 128
@@ -30,7 +30,7 @@ SEGMENT_TOKENS = 1 << 19
 #: Segments whose starts are broadcast, at 24 bytes each.
 BROADCAST_ROWS = 200_000
 #: Bytes of text whose ids make one part, and rows of the sample that cuts the parts.
-PART_BYTES, SAMPLE = 1 << 26, 50_000
+PART_BYTES, SAMPLE = 1 << 27, 50_000
 END_ID = 2
 SEGMENT_SCHEMA = "part int, seq int, n_docs long, n_tokens long, payload binary"
 
@@ -132,14 +132,22 @@ def _cuts(docs: DataFrame, least: int) -> list[tuple]:
     return sorted({keys[i][0] for i in np.searchsorted(ends, ends[-1] * np.arange(1, parts) / parts).tolist()}) if len(ends) else []
 
 
-def encode_rows(docs: DataFrame, vocabulary: bytes, cuts: list[tuple], end_id: int = END_ID) -> DataFrame:
-    """part, doc_id, tie, row, n and ids of each row: its ids and ``end_id`` as little-endian numbers of 16 bits, or of 32 where one needs them."""
-    book = docs.sparkSession.sparkContext.broadcast((vocabulary, cuts))
+def _slots(spark, n: int) -> list[int]:
+    """For each of n partitions a number that Spark's hash partitioning sends there, so that every part has one of its own."""
+    found = spark.range(20 * n + 1000).select("id", F.pmod(F.hash("id"), F.lit(n)).alias("p")).groupBy("p").agg(F.min("id").alias("id")).collect()
+    by = {r["p"]: r["id"] for r in found}
+    return [by.get(i, i) for i in range(n)]
+
+
+def encode_rows(docs: DataFrame, vocabulary: bytes, cuts: list[tuple], slots: list[int], end_id: int = END_ID) -> DataFrame:
+    """slot, part, doc_id, tie, row, n and ids of each row: its ids and ``end_id`` as little-endian numbers of 16 bits, or of 32 where one needs them."""
+    book = docs.sparkSession.sparkContext.broadcast((vocabulary, cuts, slots))
 
     def run(batches):
-        words, cuts = book.value
+        words, cuts, slots = book.value
         enc = encoder(words)
         for batch in batches:
+            pa.default_memory_pool().release_unused()
             for s in slices(batch, "text", 2_000_000):
                 flat, size = enc.encode(s.column("text"))
                 flat, size = np.insert(flat, np.cumsum(size), np.uint32(end_id)), size + 1
@@ -148,10 +156,10 @@ def encode_rows(docs: DataFrame, vocabulary: bytes, cuts: list[tuple], end_id: i
                 raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(flat.astype(kind).tobytes())]).cast(pa.binary())
                 doc = s.column("doc_id").cast(pa.int64())
                 part = [bisect_right(cuts, (d is not None, d or 0, t, r)) for d, t, r in zip(doc.to_pylist(), s.column("tie").to_pylist(), s.column("row").to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), doc, s.column("tie"), s.column("row"), pa.array(size), raw], names=["part", "doc_id", "tie", "row", "n", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array([slots[p] for p in part], pa.int64()), pa.array(part, pa.int32()), doc, s.column("tie"), s.column("row"), pa.array(size), raw], names=["slot", "part", "doc_id", "tie", "row", "n", "ids"])
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("row"), "text")
-    return rows.mapInArrow(run, "part int, doc_id long, tie long, row long, n long, ids binary")
+    return rows.mapInArrow(run, "slot long, part int, doc_id long, tie long, row long, n long, ids binary")
 
 
 def write_tokens(docs: DataFrame, vocabulary: bytes, path: str, end_id: int = END_ID, partitions: int | None = None) -> None:
@@ -164,10 +172,12 @@ def write_tokens(docs: DataFrame, vocabulary: bytes, path: str, end_id: int = EN
     least = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts = _cuts(docs.select("doc_id", "text"), least)
     order = ["part", "doc_id", "tie", "row"]
-    rows = encode_rows(docs, vocabulary, cuts, end_id).repartition(max(least, len(cuts) + 1), "part").sortWithinPartitions(*order).select("part", "doc_id", "n", "ids")
+    n = max(least, len(cuts) + 1)
+    rows = encode_rows(docs, vocabulary, cuts, _slots(docs.sparkSession, n), end_id).repartition(n, "slot").sortWithinPartitions(*order).select("part", "doc_id", "n", "ids")
     budget = SEGMENT_TOKENS
 
     def run(batches):
+        forget_encoder()
         keys, lengths, ids = [], [], []
         part, seq, held = None, 0, 0
 
@@ -204,7 +214,7 @@ def read_tokens(spark, path: str, keep_ids: bool = True) -> DataFrame:
     """
     segments = spark.read.schema(SEGMENT_SCHEMA).parquet(path)
     sizes = segments.select("part", "seq", "n_tokens")
-    # At most one row a part goes through the window without a key; parts are of 64 MB of text.
+    # At most one row a part goes through the window without a key; parts are of 128 MB of text.
     parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     parts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("part_start"))
     inside = Window.partitionBy("part").orderBy("seq")
